@@ -6,12 +6,14 @@ relative to its own folder.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wikiloom import fixed
 from wikiloom.functions import documents, paths, urls
 from wikiloom.functions import text as t
+from wikiloom.functions.skew import lookup_join
+from wikiloom.session import WorkFolder, keep
 
 _INDEX = ["package", "index"]
 
@@ -21,78 +23,12 @@ def part_documents(docs: DataFrame) -> DataFrame:
     return docs.where(documents.is_part(F.col("text")))
 
 
-def index_bodies(docs: DataFrame) -> DataFrame:
-    """package, index, body of every document that could list parts."""
-    listed = docs.where(F.col("text").contains(".md)"))
-    return documents.front_matter(listed, "text", "_fm").select(
-        "package", F.col("path").alias("index"), F.col("_fm.body").alias("body")
-    )
-
-
-def part_rows(docs: DataFrame) -> DataFrame:
-    """List items that are nothing but a link to a file below the index.
-
-    package, index, line_no, title, path (from the index's folder), full_path.
-    """
-    # A carriage return in front of the line feed belongs to the line end.
-    body = F.replace(F.col("body"), F.lit("\r\n"), F.lit("\n"))
-    lines = F.transform(
-        documents.fenced_lines(body),
-        lambda x, i: F.struct(i.alias("line_no"), x["line"].alias("line"), x["fenced"].alias("fenced")),
-    )
-    found = index_bodies(docs).select(
-        *_INDEX,
-        F.explode(
-            F.filter(lines, lambda x: ~x["fenced"] & x["line"].rlike(fixed.PART_ROW))
-        ).alias("_l"),
-    )
-    line = F.col("_l.line")
-    rows = found.select(
-        *_INDEX,
-        F.col("_l.line_no").alias("line_no"),
-        t.group(line, fixed.PART_ROW, 1).alias("title"),
-        paths.resolve_path(F.lit(""), t.group(line, fixed.PART_ROW, 2)).alias("path"),
-    ).where(F.col("path").isNotNull())
-    return rows.withColumn("full_path", paths.join_path(paths.dir_of(F.col("index")), F.col("path")))
-
-
-def inlined_rows(docs: DataFrame) -> DataFrame:
-    """The part rows whose target is a part, with ``first`` for the row that takes the text."""
-    parts = part_documents(docs).select("package", F.col("path").alias("full_path"))
-    rows = part_rows(docs).join(parts, ["package", "full_path"])
-    first = rows.groupBy(*_INDEX, "path").agg(F.min("line_no").alias("_first"))
-    return rows.join(first, [*_INDEX, "path"]).select(
-        *_INDEX,
-        "line_no",
-        "title",
-        "path",
-        "full_path",
-        (F.col("line_no") == F.col("_first")).alias("first"),
-    )
-
-
-def parts_inlined(docs: DataFrame) -> DataFrame:
-    """The parts that become text of their index: package, index, path, title, line_no."""
-    return inlined_rows(docs).where("first").select(*_INDEX, "path", "title", "line_no")
-
-
-def parts_missing(docs: DataFrame) -> DataFrame:
-    """Listed files that do not exist, in folders that hold at least one inlined part."""
-    existing = docs.select("package", F.col("path").alias("full_path"))
-    folders = inlined_rows(docs).select(*_INDEX, paths.dir_of(F.col("path")).alias("_dir")).distinct()
-    absent = part_rows(docs).join(existing, ["package", "full_path"], "left_anti")
-    return (
-        absent.withColumn("_dir", paths.dir_of(F.col("path")))
-        .join(folders, [*_INDEX, "_dir"], "left_semi")
-        .groupBy(*_INDEX, "path")
-        .agg(F.min_by("title", "line_no").alias("title"))
-    )
-
-
 def part_bodies(docs: DataFrame) -> DataFrame:
     """package, full_path, body of the parts without their front matter."""
     body = t.trim(documents.strip_part_front_matter(F.col("text")))
-    return part_documents(docs).select("package", F.col("path").alias("full_path"), body.alias("body"))
+    return part_documents(docs).select(
+        "package", F.col("path").alias("full_path"), body.alias("body")
+    )
 
 
 def _anchor_of(body: Column) -> Column:
@@ -107,79 +43,142 @@ def part_anchors(docs: DataFrame) -> DataFrame:
     )
 
 
-def headings_dropped(docs: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """Headings of level 2 to 6 whose section holds nothing but inlined rows.
+def index_lines(docs: DataFrame) -> DataFrame:
+    """The lines of every document that could list parts, one pass over each document.
 
-    package, index, line_no, text. Only flags of the lines are shuffled, never their text.
+    package, index, line_no, line, section (number of its heading), heading (the line is one),
+    blank, and for a list item that is nothing but a link to a file below the index: title, path
+    (from the index's folder), full_path.
     """
-    rows = inlined_rows(docs) if rows is None else rows
-    inlined = rows.select(*_INDEX, "line_no", F.lit(True).alias("_inlined"))
-    body = F.replace(F.col("body"), F.lit("\r\n"), F.lit("\n"))
-    # A section runs from its heading line to the next heading line.
+    listing = documents.front_matter(docs.where(F.col("text").contains(".md)")), "text", "_fm")
+    # A carriage return in front of the line feed belongs to the line end.
+    body = F.replace(F.col("_fm.body"), F.lit("\r\n"), F.lit("\n"))
     sections = F.split(body, f"\\n(?={fixed.HEADING_LINE})", -1)
-    lines = F.flatten(
-        F.transform(
-            sections,
-            lambda s, n: F.transform(
-                F.split(s, "\n", -1),
-                lambda line, i: F.struct(
-                    n.alias("section"),
-                    F.when((i == 0) & line.rlike(f"^{fixed.HEADING_LINE}"), line).alias("heading"),
-                    (t.trim(line) == "").alias("blank"),
-                ),
-            ),
-        )
+    section_numbers = F.flatten(
+        F.transform(sections, lambda s, n: F.array_repeat(n, t.newlines(s) + 1))
     )
-    listing = index_bodies(docs).join(rows.select(*_INDEX).distinct(), _INDEX, "left_semi")
-    flags = listing.select(*_INDEX, F.posexplode(lines).alias("line_no", "_l")).select(
-        *_INDEX, "line_no", "_l.section", "_l.heading", "_l.blank"
+
+    def line(x: Column, section: Column) -> Column:
+        text = x["line"]
+        row = ~x["fenced"] & text.rlike(fixed.PART_ROW)
+        target = F.when(row, t.group(text, fixed.PART_ROW, 2))
+        return F.struct(
+            text.alias("line"),
+            section.alias("section"),
+            text.rlike(f"^{fixed.HEADING_LINE}").alias("heading"),
+            (t.trim(text) == "").alias("blank"),
+            F.when(row, t.group(text, fixed.PART_ROW, 1)).alias("title"),
+            paths.resolve_path(F.lit(""), target).alias("path"),
+        )
+
+    lines = F.zip_with(documents.fenced_lines(body), section_numbers, line)
+    found = listing.select(
+        "package", F.col("path").alias("index"), F.posexplode(lines).alias("line_no", "_l")
     )
-    content = F.col("heading").isNull() & ~F.col("blank")
-    marked = flags.where(F.col("heading").isNotNull() | content).join(
-        inlined, [*_INDEX, "line_no"], "left"
+    folder = paths.dir_of(F.col("index"))
+    return found.select(
+        *_INDEX,
+        "line_no",
+        "_l.*",
+        paths.join_path(folder, F.col("_l.path")).alias("full_path"),
     )
-    inlined_line = F.coalesce("_inlined", F.lit(False))
+
+
+def part_rows(docs: DataFrame) -> DataFrame:
+    """package, index, line_no, title, path, full_path of all list items that name a file."""
     return (
-        marked.groupBy(*_INDEX, "section")
-        .agg(
-            F.max("heading").alias("text"),
-            F.min(F.when(F.col("heading").isNotNull(), F.col("line_no"))).alias("line_no"),
-            F.count_if(content & inlined_line).alias("_rows"),
-            F.count_if(content & ~inlined_line).alias("_other"),
-        )
-        .where((F.col("_rows") > 0) & (F.col("_other") == 0) & F.col("text").rlike("^##"))
-        .select(*_INDEX, "line_no", "text")
+        index_lines(docs)
+        .where(F.col("path").isNotNull())
+        .select(*_INDEX, "line_no", "title", "path", "full_path")
+    )
+
+
+def marked_lines(docs: DataFrame, rows_only: bool = False) -> DataFrame:
+    """The index lines with what becomes of them.
+
+    Adds ``known`` (the named file exists), ``part`` (it is a part: the row is inlined),
+    ``anchor``, ``first`` (the row that takes the part's text), ``missing`` and ``dropped`` (a
+    heading of level 2 to 6 whose section holds nothing but inlined rows). Documents that inline
+    nothing are left out. One join looks the files up; one exchange by index serves all windows.
+    """
+    body = t.trim(documents.strip_part_front_matter(F.col("text")))
+    is_part = F.coalesce(documents.is_part(F.col("text")), F.lit(False))
+    files = docs.select(
+        "package",
+        F.col("path").alias("full_path"),
+        F.lit(True).alias("known"),
+        is_part.alias("part"),
+        F.when(is_part, _anchor_of(body)).alias("anchor"),
+    )
+    lines = index_lines(docs)
+    if rows_only:
+        lines = lines.where(F.col("path").isNotNull()).drop("line")
+    looked_up = lookup_join(lines, files, ["package", "full_path"], ["known", "part", "anchor"])
+    flags = looked_up.withColumns(
+        {
+            "known": F.coalesce("known", F.lit(False)),
+            "part": F.coalesce("part", F.lit(False)),
+            "_dir": paths.dir_of(F.col("path")),
+        }
+    ).repartition(*[F.col(c) for c in _INDEX])
+    index = Window.partitionBy(*_INDEX)
+    named = Window.partitionBy(*_INDEX, "path").orderBy("line_no")
+    folder = Window.partitionBy(*_INDEX, "_dir")
+    section = Window.partitionBy(*_INDEX, "section")
+    text = ~F.col("heading") & ~F.col("blank")
+    added = {
+        "_any": F.max("part").over(index),
+        "first": F.col("part") & (F.row_number().over(named) == 1),
+        "missing": F.col("path").isNotNull()
+        & ~F.col("known")
+        & F.max("part").over(folder)
+        & (F.row_number().over(named) == 1),
+        "dropped": F.col("heading")
+        & F.col("line").startswith("##")
+        & (F.count_if(text & F.col("part")).over(section) > 0)
+        & (F.count_if(text & ~F.col("part")).over(section) == 0),
+    }
+    if rows_only:
+        del added["dropped"]
+    return flags.withColumns(added).where("_any").drop("_any", "_dir")
+
+
+def parts_inlined(docs: DataFrame) -> DataFrame:
+    """The parts that become text of their index: package, index, path, title, line_no."""
+    return marked_lines(docs, True).where("first").select(*_INDEX, "path", "title", "line_no")
+
+
+def parts_missing(docs: DataFrame) -> DataFrame:
+    """Listed files that do not exist, in folders that hold at least one inlined part."""
+    return marked_lines(docs, True).where("missing").select(*_INDEX, "path", "title")
+
+
+def headings_dropped(docs: DataFrame) -> DataFrame:
+    """Headings that disappear with their list: package, index, line_no, text."""
+    return marked_lines(docs).where("dropped").select(
+        *_INDEX, "line_no", F.col("line").alias("text")
     )
 
 
-def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """What an assembled document consists of, before links are rewritten.
+def _texts(marked: DataFrame, docs: DataFrame) -> DataFrame:
+    """What assembled documents consist of, before links are rewritten.
 
     package, index, line_no, folder, part, text: index lines as they stand, and part bodies at
     the rows that take them.
     """
-    body = F.replace(F.col("body"), F.lit("\r\n"), F.lit("\n"))
-    listing = index_bodies(docs).join(rows.select(*_INDEX).distinct(), _INDEX, "left_semi")
-    lines = listing.select(
-        *_INDEX, F.posexplode(F.split(body, "\n", -1)).alias("line_no", "text")
-    )
-    dropped = headings_dropped(docs, rows).select(*_INDEX, "line_no")
-    first = rows.where("first")
-    taken = dropped.unionByName(first.select(*_INDEX, "line_no"))
-    own = lines.join(taken, [*_INDEX, "line_no"], "left_anti").select(
-        *_INDEX, "line_no", F.lit("").alias("folder"), F.lit(False).alias("part"), "text"
+    own = marked.where(~F.col("dropped") & ~F.col("first")).select(
+        *_INDEX, "line_no", F.lit("").alias("folder"), F.lit(False).alias("part"),
+        F.col("line").alias("text"),
     )
-    parts = first.join(part_bodies(docs), ["package", "full_path"]).select(
-        *_INDEX,
-        "line_no",
-        paths.dir_of(F.col("path")).alias("folder"),
-        F.lit(True).alias("part"),
-        F.col("body").alias("text"),
+    inserted = marked.where("first").select(*_INDEX, "line_no", "path", "full_path")
+    parts = inserted.join(part_bodies(docs), ["package", "full_path"]).select(
+        *_INDEX, "line_no", paths.dir_of(F.col("path")).alias("folder"),
+        F.lit(True).alias("part"), F.col("body").alias("text"),
     )
     return own.unionByName(parts)
 
 
-def _anchor_links(texts: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _anchor_links(texts: DataFrame, marked: DataFrame) -> DataFrame:
     """Links from a text of an assembled document to one of its parts, as anchor links."""
     found = texts.where(F.col("text").contains(".md)")).select(
         *_INDEX,
@@ -187,22 +186,10 @@ def _anchor_links(texts: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFra
         "folder",
         F.posexplode(t.all_matches(F.col("text"), fixed.MD_FILE_LINK)).alias("pos", "_m"),
     )
-    links = found.select(
-        *_INDEX,
-        "line_no",
-        "pos",
-        t.group(F.col("_m"), fixed.MD_FILE_LINK, 1).alias("label"),
-        paths.resolve_path(F.col("folder"), t.group(F.col("_m"), fixed.MD_FILE_LINK, 2)).alias(
-            "path"
-        ),
-    ).where(F.col("path").isNotNull())
-    anchors = (
-        rows.where("first")
-        .join(
-            part_anchors(docs).withColumnRenamed("path", "full_path"), ["package", "full_path"]
-        )
-        .select(*_INDEX, "path", "anchor")
-        .where(F.col("anchor") != "")
+    target = paths.resolve_path(F.col("folder"), t.group(F.col("_m"), fixed.MD_FILE_LINK, 2))
+    links = t.once(found, path=target, label=t.group(F.col("_m"), fixed.MD_FILE_LINK, 1))
+    anchors = marked.where(F.col("first") & (F.col("anchor") != "")).select(
+        *_INDEX, "path", "anchor"
     )
     return links.join(anchors, [*_INDEX, "path"]).select(
         *_INDEX,
@@ -210,57 +197,52 @@ def _anchor_links(texts: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFra
         "pos",
         "path",
         F.concat(
-            F.lit("["),
-            F.col("label"),
-            F.lit("](#"),
-            urls.encode_component(F.col("anchor")),
-            F.lit(")"),
+            F.lit("["), "label", F.lit("](#"), urls.encode_component(F.col("anchor")), F.lit(")")
         ).alias("value"),
     )
 
 
-def parts_anchor_links(docs: DataFrame) -> DataFrame:
+def parts_anchor_links(docs: DataFrame, work: WorkFolder | None = None) -> DataFrame:
     """Links between parts as they read in the assembled document."""
-    rows = inlined_rows(docs)
-    links = _anchor_links(_texts(docs, rows), docs, rows)
+    marked = keep(work, marked_lines(docs), "marked")
+    links = _anchor_links(_texts(marked, docs), marked)
     return links.withColumnRenamed("value", "markdown")
 
 
-def assembled_texts(docs: DataFrame) -> DataFrame:
+def assembled_texts(docs: DataFrame, work: WorkFolder | None = None) -> DataFrame:
     """The texts of every assembled document, one row each: package, index, line_no, part, text.
 
-    This is the form to work on when a package has more parts than one row should hold.
+    This is the form to work on when a package has more parts than one row should hold. Texts
+    without a link to a file are not joined with anything.
     """
-    rows = inlined_rows(docs)
-    texts = _texts(docs, rows)
+    marked = keep(work, marked_lines(docs), "marked")
+    texts = keep(work, _texts(marked, docs), "texts")
     new = (
-        _anchor_links(texts, docs, rows)
+        _anchor_links(texts, marked)
         .groupBy(*_INDEX, "line_no")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_new"))
     )
-    linked = texts.join(new, [*_INDEX, "line_no"], "left")
+    has_link = F.col("text").contains(".md)")
+    linked = texts.where(has_link).join(new, [*_INDEX, "line_no"], "left")
     text = F.when(F.col("_new").isNull(), F.col("text")).otherwise(
         t.splice(F.col("text"), fixed.MD_FILE_LINK, t.by_position(F.col("_new")))
     )
-    return linked.select(*_INDEX, "line_no", "part", text.alias("text"))
+    columns = [*_INDEX, "line_no", "part", "text"]
+    rewritten = linked.withColumn("text", text).select(*columns)
+    return rewritten.unionByName(texts.where(~has_link).select(*columns))
 
 
-def assemble_documents(docs: DataFrame) -> DataFrame:
+def assemble_documents(docs: DataFrame, work: WorkFolder | None = None) -> DataFrame:
     """package, index, markdown, parts: every index that inlines at least one part."""
     text = F.when(F.col("part"), F.concat(F.lit("\n"), F.col("text"), F.lit("\n"))).otherwise(
         F.col("text")
     )
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", text.alias("text"))))
     joined = (
-        assembled_texts(docs)
+        assembled_texts(docs, work)
         .groupBy(*_INDEX)
         .agg(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("line_no", text.alias("text")))),
-                    lambda x: x["text"],
-                ),
-                "\n",
-            ).alias("_text"),
+            F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("_text"),
             F.count_if("part").alias("parts"),
         )
     )
@@ -270,12 +252,12 @@ def assemble_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def publishable(docs: DataFrame) -> DataFrame:
-    """package, path, body, parts: every document that is no part, assembled where it lists parts."""
+def publishable(docs: DataFrame, work: WorkFolder | None = None) -> DataFrame:
+    """package, path, fm, body, parts: every document that is no part, assembled if it lists some."""
     whole = documents.front_matter(
-        docs.where(~F.coalesce(documents.is_part(F.col("text")), F.lit(False))), "text", "_fm"
-    ).select("package", "path", F.col("_fm").alias("fm"))
-    assembled = assemble_documents(docs).withColumnRenamed("index", "path")
+        docs.where(~F.coalesce(documents.is_part(F.col("text")), F.lit(False))), "text", "fm"
+    ).select("package", "path", "fm")
+    assembled = assemble_documents(docs, work).withColumnRenamed("index", "path")
     return whole.join(assembled, ["package", "path"], "left").select(
         "package",
         "path",

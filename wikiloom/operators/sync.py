@@ -79,12 +79,13 @@ def bundle_documents(roots: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def version_guard(local: DataFrame, remote: DataFrame) -> DataFrame:
-    """page_id, local_version, remote_version, state of every bound page.
+    """Bound documents with the wiki's version of their page and a state.
 
-    A local version of 0 or none publishes without a check; otherwise any difference is a
-    conflict.
+    Adds remote_version and state to ``local`` (page_id, version, ...), whose version becomes
+    local_version. A local version of 0 or none publishes without a check; otherwise any
+    difference is a conflict.
     """
-    joined = local.select("page_id", F.col("version").alias("local_version")).join(
+    joined = local.withColumnRenamed("version", "local_version").join(
         remote.select("page_id", F.col("version").alias("remote_version")), "page_id", "left"
     )
     known = F.coalesce("local_version", F.lit(0)) != 0
@@ -93,7 +94,7 @@ def version_guard(local: DataFrame, remote: DataFrame) -> DataFrame:
         .when(known & (F.col("local_version") != F.col("remote_version")), "conflict")
         .otherwise("current")
     )
-    return joined.select("page_id", "local_version", "remote_version", state.alias("state"))
+    return joined.withColumn("state", state)
 
 
 def relink_saved(
@@ -139,16 +140,12 @@ def publish_plan(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """
     bound = urls.page_url_ref(docs.where("bound"), "url", "_ref")
     local = bound.withColumn("page_id", F.col("_ref.page_id"))
-    guard = version_guard(local.where(F.col("page_id").isNotNull()), pages).dropDuplicates()
-    remote = guard.select("page_id", "local_version", "remote_version", "state")
-    joined = local.withColumn("local_version", F.col("version")).join(
-        remote, ["page_id", "local_version"], "left"
-    )
+    joined = version_guard(local, pages)
     next_version = F.col("remote_version") + 1
     update_action = (
         F.when(F.col("page_id").isNull(), "bad-url")
         .when(F.col("state") == "current", "updated")
-        .otherwise(F.coalesce("state", F.lit("not-found")))
+        .otherwise(F.col("state"))
     )
     update_payload = F.to_json(
         F.struct(

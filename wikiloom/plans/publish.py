@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from wikiloom.functions import documents, paths
 from wikiloom.operators import assembly, publishing, sync
+from wikiloom.session import WorkFolder, keep
 
 
-def publish(docs: DataFrame, pages: DataFrame, parent_url: str) -> DataFrame:
+def publish(
+    docs: DataFrame, pages: DataFrame, parent_url: str, work: WorkFolder | None = None
+) -> DataFrame:
     """``docs``: package, path, text. ``pages``: the wiki now. See ``sync.publish_plan``.
 
     Parts are published inside their index only, never on their own.
     """
     name = F.regexp_replace(paths.base_name(F.col("path")), r"(?i)\.md$", "")
-    whole = assembly.publishable(docs).select(
+    whole = assembly.publishable(docs, work).select(
         F.concat_ws("/", "package", "path").alias("doc_id"),
         F.col("fm.bound").alias("bound"),
         F.col("fm.url").alias("url"),
@@ -29,7 +32,8 @@ def publish(docs: DataFrame, pages: DataFrame, parent_url: str) -> DataFrame:
             "title": documents.title_of(F.col("body"), F.col("fallback")),
             "markdown": documents.body_without_title(F.col("body")),
         }
-    )
+    ).drop("body", "fallback")
+    titled = keep(work, titled, "titled")
     storage = publishing.md_to_storage(titled.select("doc_id", "markdown"))
-    ready = titled.drop("body", "markdown", "fallback").join(storage, "doc_id")
+    ready = keep(work, titled.drop("markdown").join(storage, "doc_id"), "ready")
     return sync.publish_plan(ready, pages)

@@ -11,7 +11,7 @@ from wikiloom.functions import documents, paths
 from wikiloom.operators import assembly, lines, links, markup, publishing, sync, tree
 from wikiloom.plans.download import download
 from wikiloom.plans.publish import publish
-from wikiloom.session import scratch_folder
+from wikiloom.session import WorkFolder, scratch_folder
 from wikiloom.sources import corpus, page_dump
 from wikiloom.streaming import revisions
 from wikiloom.views import ORIGIN, table, view
@@ -92,9 +92,10 @@ def _catalogue_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The catalogue pages as fetched and placed, and the saved corpus."""
     saved = _saved(spark, d)
     fetched = _numbered(_pages(spark, d)).where(F.col("space_key") == CATALOGUE)
-    slugs = tree.assign_slugs(fetched, saved)
+    work = WorkFolder.scratch(spark, "catalogue")
+    slugs = work.keep(tree.assign_slugs(fetched, saved), "slugs")
     placed = fetched.join(tree.place_in_tree(fetched, saved, slugs), "page_id")
-    return placed.select("page_id", "title", "path", "ord"), saved
+    return work.keep(placed.select("page_id", "title", "path", "ord"), "placed"), saved
 
 
 # --- sources and sinks ---------------------------------------------------------------------
@@ -176,7 +177,9 @@ def publish_plan(spark: SparkSession, d: str) -> DataFrame:
         "text",
     )
     docs = _conv_docs(spark, d).unionByName(saved)
-    return publish(docs, _versioned_pages(spark, d), PARENT_URL)
+    return publish(
+        docs, _versioned_pages(spark, d), PARENT_URL, WorkFolder.scratch(spark, "publish")
+    )
 
 
 # --- projections -----------------------------------------------------------------------------
@@ -327,7 +330,8 @@ def slug_assign(spark: SparkSession, d: str) -> DataFrame:
 
 def tree_paths(spark: SparkSession, d: str) -> DataFrame:
     fetched, saved = _numbered(_pages(spark, d)), _saved(spark, d)
-    return tree.place_in_tree(fetched, saved, tree.assign_slugs(fetched, saved))
+    work = WorkFolder.scratch(spark, "tree")
+    return tree.place_in_tree(fetched, saved, work.keep(tree.assign_slugs(fetched, saved), "slugs"))
 
 
 def _all_placed(spark: SparkSession, d: str) -> DataFrame:
@@ -416,7 +420,7 @@ def part_anchors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parts_anchor_links(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.parts_anchor_links(_conv_docs(spark, d))
+    return assembly.parts_anchor_links(_conv_docs(spark, d), WorkFolder.scratch(spark, "assembly"))
 
 
 def headings_dropped(spark: SparkSession, d: str) -> DataFrame:
@@ -424,7 +428,7 @@ def headings_dropped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def assemble_documents(spark: SparkSession, d: str) -> DataFrame:
-    return assembly.assemble_documents(_conv_docs(spark, d))
+    return assembly.assemble_documents(_conv_docs(spark, d), WorkFolder.scratch(spark, "assembly"))
 
 
 # --- markup ----------------------------------------------------------------------------------------
@@ -440,7 +444,8 @@ def html_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_to_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return markup.html_to_markdown(_html_corpus(spark, d), "link", ORIGIN)
+    work = WorkFolder.scratch(spark, "markdown")
+    return markup.html_to_markdown(_html_corpus(spark, d), "link", ORIGIN, work)
 
 
 def md_to_storage(spark: SparkSession, d: str) -> DataFrame:
@@ -466,7 +471,7 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def _revision_folder(spark: SparkSession, d: str) -> str:
     versions = view(spark, d, "page_versions").selectExpr(
-        "page_id", "cast(version as int) version", "client", "ts", "event_id"
+        "page_id", "cast(version as int) version", "client", "cast(ts as timestamp) ts", "event_id"
     )
     folder = scratch_folder(spark, "revisions")
     revisions.write_in_time_order(versions, folder)
@@ -501,7 +506,7 @@ def full_download(spark: SparkSession, d: str) -> DataFrame:
         _saved(spark, d),
         ORIGIN,
         GENERATED,
-        work_folder=scratch_folder(spark, "download"),
+        work=WorkFolder.scratch(spark, "download"),
     )
     return result.files.select("page_id", "rel_path", "text", F.size("samples").alias("samples"))
 

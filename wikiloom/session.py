@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str | None = None, partitions: int | None = None) -> SparkSession:
@@ -36,3 +36,31 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class WorkFolder:
+    """Tables a job writes once and reads several times, in shared storage.
+
+    A written table cuts the lineage: what several later steps need is computed once, and losing
+    an executor costs no more than reading it again.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+
+    @classmethod
+    def scratch(cls, spark: SparkSession, name: str) -> WorkFolder:
+        return cls(scratch_folder(spark, name))
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def part(self, name: str) -> WorkFolder:
+        return WorkFolder(f"{self.folder}/{name}")
+
+
+def keep(work: WorkFolder | None, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the work folder, or as it is without one."""
+    return df if work is None else work.keep(df, name)

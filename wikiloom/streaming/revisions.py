@@ -113,7 +113,7 @@ def write_in_time_order(
     The rows are cut into ``ranges`` time ranges of equal length, written one after the other.
     Within a range a page's rows share one file, so the files of a range may come in any order.
     """
-    at = F.unix_micros("ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
     bounds = revisions.agg(F.min(at).alias("first"), F.max(at).alias("last")).first()
     if bounds["first"] is None:
         revisions.write.mode("append").parquet(folder)
