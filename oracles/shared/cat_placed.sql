@@ -1,0 +1,3 @@
+-- uses: cat_slugs, wiki_saved
+select c.page_id, c.title, coalesce(s.rel_path, c.slug) path, c.ord
+from cat_slugs c left join wiki_saved s on s.page_id = c.page_id

@@ -1,0 +1,7 @@
+-- uses: wiki_pages, wiki_saved
+select page_id, ord, title, ancestors, case when owner <> page_id then base || '-' || page_id else base end slug
+from (
+  select *, coalesce((select max_by(s.page_id, cast(s.page_id as bigint)) from wiki_saved s where s.slug = b.base), first_value(page_id) over (partition by base order by ord)) owner
+  from (
+    select page_id, title, ancestors, cast(page_id as bigint) ord, coalesce((select slug from wiki_saved s where s.page_id = p.page_id), coalesce(nullif(trim(regexp_replace(lower(strip_accents(replace(replace(title, 'ł', 'l'), 'Ł', 'L'))), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'page')) base
+    from wiki_pages p where space_key = 'CAT') b)

@@ -482,7 +482,7 @@ def stream_latest_page(spark: SparkSession, d: str) -> DataFrame:
     stream = revisions.read_revisions(spark, _revision_folder(spark, d), 4)
     out = scratch_folder(spark, "latest")
     revisions.follow_latest(stream, out, scratch_folder(spark, "latest-checkpoint"))
-    return revisions.read_latest(spark, out)
+    return revisions.read_latest(spark, out).select("page_id", "version", "client", "event_id")
 
 
 def stream_version_guard(spark: SparkSession, d: str) -> DataFrame:
