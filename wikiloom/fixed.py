@@ -27,6 +27,18 @@ EOL = r"(?![^\n])"
 M_BOL = f"(?<![^{LINE_END_CHARS}])"
 M_EOL = f"(?![^{LINE_END_CHARS}])"
 
+
+
+def up_to(end: str) -> str:
+    r"""Any text up to the first ``end``, which must start with a literal character.
+
+    Says the same as a lazy ``[\s\S]*?`` in front of ``end`` but steps from one candidate to the
+    next instead of trying every character.
+    """
+    first = end[0]
+    return rf"[^{first}]*+(?:(?!{end}){first}[^{first}]*+)*+"
+
+
 # --- links -----------------------------------------------------------------------------
 PSEUDO_SCHEME = "confluence:"
 SPACE_PAGE_PATH = r"/spaces/([^/]+)/pages/(\d+)"
@@ -38,7 +50,8 @@ CLOUD_HOST = r"(?i)\.atlassian\.net$"
 CLOUD_BASE = "/wiki"
 
 HTML_ANCHOR = (
-    r"(?is)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')[^>]*>(.*?)</a\s*>"
+    r"(?is)<a\b[^>]*?\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)')[^>]*>"
+    rf"({up_to('</a')})</a\s*>"
 )
 HTML_IMAGE = r"(?i)<img\b[^>]*>"
 MD_TARGET = r"\]\(([^()\s]+)\)"
@@ -56,7 +69,8 @@ PART_FRONT_MATTER = r"\A---\r?\n([\s\S]*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 # A closed fenced block: opener at column 0, closer of the same character and at least the
 # same length with nothing behind it. An opener without closer is ordinary text.
 CODE_BLOCK = "|".join(
-    f"{BOL}({ch}{{3,}}+){ANY}*+{EOL}\\n[\\s\\S]*?{BOL}\\{group}{ch}*+{BLANK}*+{EOL}"
+    f"{BOL}({ch}{{3,}}+){ANY}*+{EOL}(?:\\n(?!\\{group}{ch}*+{BLANK}*+{EOL})[^\\n]*+)*+"
+    f"\\n\\{group}{ch}*+{BLANK}*+{EOL}"
     for group, ch in ((1, "`"), (2, "~"))
 )
 SAMPLE_HEADING = (
@@ -107,32 +121,32 @@ DOC_TYPES = {
 BINDING_KEY = "confluence:"
 
 # --- page markup -----------------------------------------------------------------------
-MACRO_CODE = r'<ac:structured-macro[^>]*ac:name="code"[^>]*>([\s\S]*?)</ac:structured-macro>'
+MACRO_CODE = rf"""<ac:structured-macro[^>]*ac:name="code"[^>]*>({up_to('</ac:structured-macro>')})</ac:structured-macro>"""
 # "/>" closes the macro on the spot; only a macro left open runs to its closing tag.
 MACRO_DROPPED = (
     r'<ac:structured-macro[^>]*ac:name="(?:toc|anchor|children|pagetree)"'
-    r"(?:[^>]*/>|[^>]*>[\s\S]*?</ac:structured-macro>)"
+    rf"(?:[^>]*/>|[^>]*>{up_to('</ac:structured-macro>')}</ac:structured-macro>)"
 )
 MACRO_PANEL = (
     r'<ac:structured-macro[^>]*ac:name="(info|note|warning|tip|panel)"[^>]*>'
-    r"([\s\S]*?)</ac:structured-macro>"
+    rf"({up_to('</ac:structured-macro>')})</ac:structured-macro>"
 )
-MACRO_STATUS = r'<ac:structured-macro[^>]*ac:name="status"[^>]*>([\s\S]*?)</ac:structured-macro>'
-MACRO_OTHER = r"<ac:structured-macro[^>]*>([\s\S]*?)</ac:structured-macro>"
-MACRO_LANGUAGE = r'<ac:parameter[^>]*ac:name="language"[^>]*>([\s\S]*?)</ac:parameter>'
-MACRO_TITLE = r'<ac:parameter[^>]*ac:name="title"[^>]*>([\s\S]*?)</ac:parameter>'
-PLAIN_BODY = r"<ac:plain-text-body>([\s\S]*?)</ac:plain-text-body>"
-RICH_BODY = r"<ac:rich-text-body>([\s\S]*?)</ac:rich-text-body>"
-CDATA = r"<!\[CDATA\[([\s\S]*?)\]\]>"
-TASK_LIST = r"<ac:task-list>([\s\S]*?)</ac:task-list>"
-TASK = r"<ac:task>([\s\S]*?)</ac:task>"
-TASK_BODY = r"<ac:task-body>([\s\S]*?)</ac:task-body>"
+MACRO_STATUS = rf"""<ac:structured-macro[^>]*ac:name="status"[^>]*>({up_to('</ac:structured-macro>')})</ac:structured-macro>"""
+MACRO_OTHER = rf"<ac:structured-macro[^>]*>({up_to('</ac:structured-macro>')})</ac:structured-macro>"
+MACRO_LANGUAGE = rf"""<ac:parameter[^>]*ac:name="language"[^>]*>({up_to('</ac:parameter>')})</ac:parameter>"""
+MACRO_TITLE = rf"""<ac:parameter[^>]*ac:name="title"[^>]*>({up_to('</ac:parameter>')})</ac:parameter>"""
+PLAIN_BODY = rf"<ac:plain-text-body>({up_to('</ac:plain-text-body>')})</ac:plain-text-body>"
+RICH_BODY = rf"<ac:rich-text-body>({up_to('</ac:rich-text-body>')})</ac:rich-text-body>"
+CDATA = rf"<!\[CDATA\[([^\]]*+(?:(?!\]\]>)\][^\]]*+)*+)\]\]>"
+TASK_LIST = rf"<ac:task-list>({up_to('</ac:task-list>')})</ac:task-list>"
+TASK = rf"<ac:task>({up_to('</ac:task>')})</ac:task>"
+TASK_BODY = rf"<ac:task-body>({up_to('</ac:task-body>')})</ac:task-body>"
 TASK_DONE = "<ac:task-status>complete</ac:task-status>"
-PAGE_LINK = r"<ac:link[^>]*>([\s\S]*?)</ac:link>"
+PAGE_LINK = rf"<ac:link[^>]*>({up_to('</ac:link>')})</ac:link>"
 PAGE_LINK_TARGET = r"<ri:page[^>]*/?>"
-PAGE_LINK_LABEL = r"<ac:(?:plain-text-)?link-body>([\s\S]*?)</ac:(?:plain-text-)?link-body>"
+PAGE_LINK_LABEL = rf"<ac:(?:plain-text-)?link-body>({up_to('</ac:(?:plain-text-)?link-body>')})</ac:(?:plain-text-)?link-body>"
 USER_TARGET = r"<ri:user[^>]*/?>"
-STORAGE_IMAGE = r"<ac:image[^>]*>([\s\S]*?)</ac:image>"
+STORAGE_IMAGE = rf"<ac:image[^>]*>({up_to('</ac:image>')})</ac:image>"
 ATTACHMENT_TARGET = r"<ri:attachment[^>]*/?>"
 URL_TARGET = r"<ri:url[^>]*/?>"
 LEFTOVER_TAG = r"</?(?:ac|ri):[a-zA-Z-]+[^<>]*>"
@@ -140,16 +154,16 @@ PANEL_CLASS = "confluence-information-macro"
 PANEL_KINDS = ("info", "note", "warning", "tip", "panel")
 TASK_LIST_CLASS = "inline-task-list"
 
-STYLE = r"(?i)<style\b[^>]*>[\s\S]*?</style>"
-SCRIPT = r"(?i)<script\b[^>]*>[\s\S]*?</script>"
-ISSUE_TABLE = r'(?i)<table\b[^>]*class="[^"]*\bjira-issues\b[^"]*"[^>]*>([\s\S]*?)</table>'
-TABLE_ROW = r"(?i)<tr\b[^>]*>([\s\S]*?)</tr>"
+STYLE = rf"(?i)<style\b[^>]*>{up_to('</style>')}</style>"
+SCRIPT = rf"(?i)<script\b[^>]*>{up_to('</script>')}</script>"
+ISSUE_TABLE = rf"""(?i)<table\b[^>]*class="[^"]*\bjira-issues\b[^"]*"[^>]*>({up_to('</table>')})</table>"""
+TABLE_ROW = rf"(?i)<tr\b[^>]*>({up_to('</tr>')})</tr>"
 TABLE_HEADER_CELL = r"(?i)<th\b"
-TABLE_CELL = r"(?i)<td\b[^>]*>([\s\S]*?)</td>"
-COLGROUP = r"(?i)<colgroup\b[^>]*>[\s\S]*?</colgroup>"
+TABLE_CELL = rf"(?i)<td\b[^>]*>({up_to('</td>')})</td>"
+COLGROUP = rf"(?i)<colgroup\b[^>]*>{up_to('</colgroup>')}</colgroup>"
 COLGROUP_EMPTY = r"(?i)<colgroup\b[^>]*/>"
 STATUS_SPAN = r'(?i)<span\b([^>]*\bclass="[^"]*\bjira-status\b[^"]*"[^>]*)>'
-ANY_CELL = r"(?i)<t[hd]\b[^>]*>[\s\S]*?</t[hd]>"
+ANY_CELL = rf"(?i)<t[hd]\b[^>]*>{up_to('</t[hd]>')}</t[hd]>"
 ANY_CELL_OPEN = r"(?i)^(<t[hd]\b[^>]*>)"
 CELL_HEADING = r"(?i)</?h[1-6]\b[^>]*>"
 CODE_LANGUAGE = r'(?i)\bdata-code-language="([^"]*)"'
@@ -195,7 +209,8 @@ RULE = "---"
 # --- Markdown to page markup -------------------------------------------------------------
 # A fence may be indented by up to three blanks; without a closer it runs to the end.
 MD_FENCE = "|".join(
-    f"{BOL} {{0,3}}({ch}{{3,}}+)({info}*+){EOL}(?:\\n[\\s\\S]*?)??"
+    f"{BOL} {{0,3}}({ch}{{3,}}+)({info}*+){EOL}"
+    f"(?:\\n(?! {{0,3}}\\{number}{ch}*+[ \\t]*+{EOL})[^\\n]*+)*+"
     f"(?:\\n {{0,3}}\\{number}{ch}*+[ \\t]*+{EOL}|\\z)"
     for number, ch, info in ((1, "`", "[^`\\n]"), (3, "~", "[^\\n]"))
 )

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from wikiloom import fixed
 
 
+_CUT = "\ufddf"
+
+
 def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
     """``fn(value)`` with ``value`` evaluated once, however often ``fn`` mentions it."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))
@@ -39,8 +42,18 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def pieces(c: Column, pattern: str) -> Column:
-    """The text between the matches; always one element more than there are matches."""
-    return F.split(c, pattern, -1)
+    """The text between the matches; always one element more than there are matches.
+
+    ``split`` compiles its pattern for every row, ``regexp_replace`` once. So matches are replaced
+    by a character that text does not use, and where a text does use it, the slow way is taken.
+    """
+    marked = F.regexp_replace(c, pattern, _CUT)
+    return F.when(c.contains(_CUT), F.split(c, pattern, -1)).otherwise(F.split(marked, _CUT, -1))
+
+
+def where_has(c: Column, mark: str, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` applied to texts that contain ``mark``; a substring test spares all others."""
+    return bind(c, lambda x: F.when(x.contains(mark), fn(x)).otherwise(x))
 
 
 def replace_matches(c: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:

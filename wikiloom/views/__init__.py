@@ -43,8 +43,18 @@ def duckdb_text(name: str) -> str:
     return _aggregates(text, "string_agg({value}, {separator} order by {order})")
 
 
+SMALL_BYTES = 1 << 30
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A test table. One small file would keep all parsing in one task, so its rows are spread;
+    tables of any size are read as they are split."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if len(df.inputFiles()) < cores and int(size) < SMALL_BYTES:
+        return df.repartition(cores)
+    return df
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
