@@ -33,7 +33,6 @@ def publish(
             "markdown": documents.body_without_title(F.col("body")),
         }
     ).drop("body", "fallback")
-    titled = keep(work, titled, "titled")
-    storage = publishing.md_to_storage(titled.select("doc_id", "markdown"))
-    ready = keep(work, titled.drop("markdown").join(storage, "doc_id"), "ready")
+    storage = publishing.storage_of(F.col("markdown"))
+    ready = keep(work, titled.withColumn("storage", storage).drop("markdown"), "ready")
     return sync.publish_plan(ready, pages)
