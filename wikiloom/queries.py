@@ -91,9 +91,10 @@ def _html_corpus(spark: SparkSession, d: str) -> DataFrame:
 def _catalogue_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The catalogue pages as fetched and placed, and the saved corpus."""
     saved = _saved(spark, d)
-    fetched = _numbered(_pages(spark, d)).where(F.col("space_key") == CATALOGUE)
     work = WorkFolder.scratch(spark, "catalogue")
-    slugs = work.keep(tree.assign_slugs(fetched, saved), "slugs")
+    fetched = _numbered(_pages(spark, d)).where(F.col("space_key") == CATALOGUE)
+    fetched = work.keep(fetched, "fetched")
+    slugs = work.keep(tree.assign_slugs(fetched, saved, work), "slugs")
     placed = fetched.join(tree.place_in_tree(fetched, saved, slugs), "page_id")
     return work.keep(placed.select("page_id", "title", "path", "ord"), "placed"), saved
 
@@ -325,13 +326,16 @@ def relink_changed(spark: SparkSession, d: str) -> DataFrame:
 
 # --- tree ----------------------------------------------------------------------------------------
 def slug_assign(spark: SparkSession, d: str) -> DataFrame:
-    return tree.assign_slugs(_numbered(_pages(spark, d)), _saved(spark, d))
+    work = WorkFolder.scratch(spark, "slugs")
+    return tree.assign_slugs(_numbered(_pages(spark, d)), _saved(spark, d), work)
 
 
 def tree_paths(spark: SparkSession, d: str) -> DataFrame:
     fetched, saved = _numbered(_pages(spark, d)), _saved(spark, d)
     work = WorkFolder.scratch(spark, "tree")
-    return tree.place_in_tree(fetched, saved, work.keep(tree.assign_slugs(fetched, saved), "slugs"))
+    fetched = work.keep(fetched, "fetched")
+    slugs = work.keep(tree.assign_slugs(fetched, saved, work), "slugs")
+    return tree.place_in_tree(fetched, saved, slugs)
 
 
 def _all_placed(spark: SparkSession, d: str) -> DataFrame:
@@ -370,11 +374,13 @@ def headings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def anchor_resolve(spark: SparkSession, d: str) -> DataFrame:
-    return lines.anchor_resolution(_order_docs(spark, d))
+    docs = WorkFolder.scratch(spark, "docs").keep(_order_docs(spark, d), "docs")
+    return lines.anchor_resolution(docs)
 
 
 def anchors_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    return lines.rewrite_anchors(_order_docs(spark, d))
+    docs = WorkFolder.scratch(spark, "docs").keep(_order_docs(spark, d), "docs")
+    return lines.rewrite_anchors(docs)
 
 
 def code_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -500,14 +506,11 @@ def full_download(spark: SparkSession, d: str) -> DataFrame:
         .join(html, "page_id", "left")
         .withColumn("html", F.coalesce("html", F.concat(F.lit("<p>"), "title", F.lit("</p>"))))
     )
-    result = download(
-        pages,
-        html.select("page_id"),
-        _saved(spark, d),
-        ORIGIN,
-        GENERATED,
-        work=WorkFolder.scratch(spark, "download"),
-    )
+    work = WorkFolder.scratch(spark, "download")
+    pages = work.keep(pages, "pages")
+    roots = pages.where(F.col("space_key") == ORDERS).where(F.col("html").contains("<a ")).select("page_id")
+    saved = work.keep(_saved(spark, d), "saved")
+    result = download(pages, roots, saved, ORIGIN, GENERATED, work=work)
     return result.files.select("page_id", "rel_path", "text", F.size("samples").alias("samples"))
 
 
