@@ -151,7 +151,6 @@ ATTACHMENT_TARGET = r"<ri:attachment[^>]*/?>"
 URL_TARGET = r"<ri:url[^>]*/?>"
 LEFTOVER_TAG = r"</?(?:ac|ri):[a-zA-Z-]+[^<>]*>"
 PANEL_CLASS = "confluence-information-macro"
-PANEL_KINDS = ("info", "note", "warning", "tip", "panel")
 TASK_LIST_CLASS = "inline-task-list"
 
 STYLE = rf"(?i)<style\b[^>]*>{up_to('</style>')}</style>"
@@ -164,7 +163,6 @@ COLGROUP = rf"(?i)<colgroup\b[^>]*>{up_to('</colgroup>')}</colgroup>"
 COLGROUP_EMPTY = r"(?i)<colgroup\b[^>]*/>"
 STATUS_SPAN = r'(?i)<span\b([^>]*\bclass="[^"]*\bjira-status\b[^"]*"[^>]*)>'
 ANY_CELL = rf"(?i)<t[hd]\b[^>]*>{up_to('</t[hd]>')}</t[hd]>"
-ANY_CELL_OPEN = r"(?i)^(<t[hd]\b[^>]*>)"
 CELL_HEADING = r"(?i)</?h[1-6]\b[^>]*>"
 CODE_LANGUAGE = r'(?i)\bdata-code-language="([^"]*)"'
 CODE_BRUSH = r'(?i)\bdata-syntaxhighlighter-params="[^"]*?brush:\s*([\w#+-]+)'
