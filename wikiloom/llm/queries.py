@@ -7,21 +7,42 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wikiloom.llm import packing
+from wikiloom.llm import exact, huffman, mixture, packing
 from wikiloom.llm.common import read
+from wikiloom.session import WorkFolder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op4_token_files(spark: SparkSession, d: str) -> DataFrame:
+    work = WorkFolder.scratch(spark, "op4")
+    folder = huffman.write_documents(read(spark, d, "documents"), public_tokenizers.path(WORD_BPE), work, end_id=2)
+    return huffman.document_digests(huffman.read_ids(spark, folder))
+
+
+def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return exact.exact_groups(read(spark, d, "documents"), WorkFolder.scratch(spark, "op6"))
+
+
 def op7_packing(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "documents")
     return packing.packed_digests(packing.pack(docs, public_tokenizers.path(WORD_BPE), limit=2048, end_id=1))
 
 
+def op8_mixing(spark: SparkSession, d: str) -> DataFrame:
+    mix = mixture.plan_mix(read(spark, d, "documents"), WorkFolder.scratch(spark, "op8"))
+    return mixture.per_document(mix).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
 QUERIES: dict[str, Query] = {
+    "op4_token_files": op4_token_files,
+    "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
+    "op8_mixing": op8_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": exact.GROUPS_SQL,
+}
