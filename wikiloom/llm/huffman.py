@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wikiloom.llm.common import column
-from wikiloom.llm.tokens import slices, tokenizer
+from wikiloom.llm.tokens import ended_ids, id_bytes, slices, tokenizer
 from wikiloom.session import WorkFolder
 
 MAGIC = b"HUF1"
@@ -171,11 +171,10 @@ def token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
-        for batch, texts in slices(batches, 1):
-            ids = [x + end for x in words.batch(texts)]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        for batch in slices(batches, 1):
+            ids, counts = ended_ids(words, batch.column(1), end_id)
+            columns = [batch.column(0), pa.array(counts), id_bytes(ids, counts)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(column(docs, doc_id).cast("bigint").alias("doc_id"), column(docs, text).cast("string").alias("text"))
     return rows.mapInArrow(encode, "doc_id bigint, n_tokens bigint, ids binary")
@@ -227,8 +226,7 @@ def write_ids(tokens: DataFrame, folder: str, limit: int = LIMIT) -> None:
         code = Code(given.value, limit)
         edges = np.array(bounds, np.int64)
         for batch in batches:
-            ids = batch.column(2).to_pylist()
-            done = [code.encode(np.frombuffer(x or b"", "<u4")) for x in ids]
+            done = [code.encode(np.frombuffer(x, "<u4")) for x in batch.column(2).to_pylist()]
             keys = batch.column(0)
             at = np.searchsorted(edges, keys.fill_null(0).to_numpy(zero_copy_only=False), side="right")
             at[keys.is_null().to_numpy(zero_copy_only=False)] = len(edges)
@@ -292,15 +290,13 @@ def read_ids(spark: SparkSession, folder: str, limit: int = LIMIT) -> DataFrame:
             for of, begin, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 keys, counts, tokens = open_block(payload, code)
                 ends = np.cumsum(counts)
-                raw = memoryview(tokens.astype("<u4").tobytes())
-                ids = [bytes(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([of] * len(keys), pa.int32()),
                         pa.array(keys, pa.int64()),
                         pa.array(begin + ends - counts),
                         pa.array(counts),
-                        pa.array(ids, pa.binary()),
+                        id_bytes(tokens.astype("<u4", copy=False), counts),
                     ],
                     names=["range", "doc_id", "start", "n_tokens", "ids"],
                 )

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wikiloom.llm.common import column, fresh
-from wikiloom.llm.tokens import slices, tokenizer
+from wikiloom.llm.tokens import ended_ids, id_bytes, slices, tokenizer
 
 #: A sequence id is bucket, input partition and number in the partition, in this many bits each.
 PARTITION_BITS, NUMBER_BITS = 24, 33
@@ -73,11 +73,9 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
         made = np.zeros(bits, np.int64)
-        for batch, texts in slices(batches, 1):
-            coded = [ids + end for ids in words.batch(texts)]
-            tokens = np.array([len(c) // 4 for c in coded], np.int64)
+        for batch in slices(batches, 1):
+            ids, tokens = ended_ids(words, batch.column(1), end_id)
             row, start, length = binary_cuts(tokens, limit)
             level = np.log2(length).astype(np.int64)
             number = np.empty(len(row), np.int64)
@@ -86,7 +84,6 @@ def pack(
                 n = int(of.sum())
                 number[of] = made[k] + np.arange(n)
                 made[k] += n
-            ids = [coded[r][4 * s : 4 * (s + n)] for r, s, n in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]
             part = batch.column(2).take(pa.array(row)).cast(pa.int64()).to_numpy()
             sequence = ((bits - 1 - level) << (PARTITION_BITS + NUMBER_BITS)) + (part << NUMBER_BITS) + number
             yield pa.RecordBatch.from_arrays(
@@ -94,7 +91,7 @@ def pack(
                     batch.column(0).take(pa.array(row)),
                     pa.array(start),
                     pa.array(length),
-                    pa.array(ids, pa.binary()),
+                    id_bytes(ids, length),  # the pieces tile the ids
                     pa.array(tokens[row]),
                     pa.array(length),
                     pa.array(sequence),
