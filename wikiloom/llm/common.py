@@ -35,3 +35,8 @@ def column(df: DataFrame, name: str) -> Column:
 
 def text_of(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(column(df, text).cast("string"), F.lit(""))
+
+
+def row_key(doc_id: Column, content: Column) -> Column:
+    """A doc_id, null or not, and what stands for the text, as one key."""
+    return F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("-")), F.lit(" "), content.cast("string"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wikiloom.llm.common import SPACE, column, fresh, text_of
+from wikiloom.llm.common import SPACE, column, fresh, row_key, text_of
 from wikiloom.session import WorkFolder
 
 #: Runs that one merge takes together, as bits of the run number: four binomial rounds at once.
@@ -93,17 +93,13 @@ def without_copies(docs: DataFrame, work: WorkFolder, doc_id: str = "doc_id", te
     """
     (key,) = fresh(docs.columns, "exact_key")
     kept = exact_groups(docs, work, doc_id, text).where("kept")
-    kept = kept.select(_row_key(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    kept = kept.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias(key))
     digest = F.sha2(normalised(text_of(docs, text)), 256)
-    rows = docs.withColumn(key, _row_key(column(docs, doc_id), digest))
+    rows = docs.withColumn(key, row_key(column(docs, doc_id), digest))
     once = rows.join(kept, key, "left_semi").dropDuplicates([key])  # one exchange serves both
     return once.select([column(once, name) for name in docs.columns])
 
 
-def _row_key(doc_id: Column, digest: Column) -> Column:
-    return F.concat(F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit("-")), F.lit(" "), digest)
-
-
 GROUPS_SQL = r"""
 with norm as (
   select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') t from documents

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wikiloom.llm import exact, huffman, mixture, packing
+from wikiloom.llm import exact, huffman, mixture, ngram_join, packing, substrings
 from wikiloom.llm.common import read
 from wikiloom.session import WorkFolder
 
@@ -22,6 +22,10 @@ def op4_token_files(spark: SparkSession, d: str) -> DataFrame:
     return huffman.document_digests(huffman.read_ids(spark, folder))
 
 
+def op5_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return substrings.removal_digests(substrings.without_repeats(read(spark, d, "documents"), size=13))
+
+
 def op6_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact.exact_groups(read(spark, d, "documents"), WorkFolder.scratch(spark, "op6"))
 
@@ -36,11 +40,19 @@ def op8_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixture.per_document(mix).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_ngram_join(spark: SparkSession, d: str) -> DataFrame:
+    work = WorkFolder.scratch(spark, "op9")
+    found = ngram_join.jaccard_components(read(spark, d, "documents"), work, size=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op4_token_files": op4_token_files,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 ORACLES: dict[str, str] = {
