@@ -5,7 +5,7 @@ with raw as (
   from raw_blocks),
 storage as (
   select page_id, block_no, case kind when 'heading' then '# ' || text
-      when 'code' then '```java' || chr(10) || text || chr(10) || '```'
+      when 'code' then '```sql' || chr(10) || text || chr(10) || '```'
       when 'item' then case when done then '- [x] ' else '- [ ] ' end || text
       else case when quote = 1 then '> ' else '' end || text end md,
     case when block_no = 8 then chr(10) else chr(10) || chr(10) end gap

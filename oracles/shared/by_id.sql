@@ -1,3 +1,3 @@
--- uses: cat_placed, wiki_saved
-select page_id, path from cat_placed
-union all select page_id, rel_path from wiki_saved where page_id not in (select page_id from cat_placed)
+-- uses: placed, wiki_saved
+select page_id, path from placed
+union all select page_id, rel_path from wiki_saved where page_id not in (select page_id from placed)

@@ -1,4 +1,4 @@
--- uses: cat_placed, saved
-select title, max_by(path, ord) path from cat_placed group by title
+-- uses: placed, saved
+select title, max_by(path, ord) path from placed group by title
 union all select title, max_by(rel_path, ord) from saved
-  where title not in (select title from cat_placed) group by title
+  where title not in (select title from placed) group by title

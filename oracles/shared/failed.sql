@@ -1,4 +1,4 @@
--- uses: picked, wiki_pages
-select source_id, pos, title, 'not-found' reason from picked
-where not exists (select 1 from wiki_pages p where left(p.title, 1) not in ('a', 's')
-  and (p.page_id = want_id or (p.space_key = want_space and p.title = want_title)))
+-- uses: wiki_links_html
+select page_id source_id, (length(html) - length(replace(html, '<a ', ''))) // 3 + n pos,
+  case n when 0 then 'Lost ' || page_id else 'by id' end title, 'not-found' reason
+from wiki_links_html, (values (0), (1)) lost(n)

@@ -12,9 +12,9 @@ marked as (
   select page_id, i, case when starts_with(line, '@item ') then 'item' when starts_with(line, '@head ') then 'heading' else 'text' end kind,
     case when line like '@____ %' then substr(line, 7) else line end line from lines),
 plain as (
-  select page_id, i, kind, trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(line,
+  select page_id, i, kind, replace(trim(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(line,
     '<a href="([^"]*)">(.*?)</a>', '[\2](\1)', 'g'), '<[^>]*>', '', 'g'),
-    '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&')) line
+    '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&amp;', '&')), '*', '\*') line
   from marked)
 select page_id, kind, line, row_number() over (partition by page_id order by i) block_no
 from plain where line <> ''

@@ -1,12 +1,2 @@
-select cast(3000000 + c_custkey as varchar) page_id,
-  '<h1>Zam&#243;wienie ' || c_custkey || '</h1><pre data-code-language="java">if (a &lt; ' || c_custkey
-  || ') { return &quot;x&amp;y&quot;; }</pre>'
-  || case c_custkey % 3
-       when 0 then '<div class="confluence-information-macro confluence-information-macro-info"><p>' || c_mktsegment || '</p></div>'
-       when 1 then '<div class="confluence-information-macro confluence-information-macro-warning"><p>' || c_mktsegment || '</p></div>'
-       else '<p>' || c_mktsegment || '</p>' end
-  || '<p>State <code>' || c_mktsegment || '</code></p><ul class="inline-task-list"><li class="'
-  || case when c_acctbal < 0 then '' else 'checked' end || '">pay</li></ul><p>See <a href="confluence:GEO/'
-  || replace(n_name, ' ', '%20') || '">nation</a> by @u' || c_custkey || '</p><p><img alt="d.png"></p>'
-  || '<table><tbody><tr><th>Field</th><th>Value</th></tr><tr><td>seg | key</td><td>' || c_mktsegment || '</td></tr></tbody></table>' storage
-from customer join nation on c_nationkey = n_nationkey
+-- uses: storage_clean
+select page_id, storage from storage_clean

@@ -199,31 +199,87 @@ BLOCK_ELEMENTS = (
     "table tbody td tfoot th thead tr ul"
 ).split()
 BLOCK_BOUNDARY = "(?i)(?=</?(?:" + "|".join(BLOCK_ELEMENTS) + r")(?![\w-]))"
+# Everything inside is code, tags too.
+PREFORMATTED = rf"(?i)(<pre\b[^>]*>)({up_to('</pre>')})</pre>"
 COMMENT = r"<!--[\s\S]*?-->|<![a-zA-Z][^>]*>"
 BULLET = "-   "
 NESTING = "    "
 RULE = "---"
 
 # --- Markdown to page markup -------------------------------------------------------------
+# Whole lines with their line end. Loops over lines are possessive, so they neither go back nor recurse.
+_END = r"(?:\n|\z)"
+_BLANK_LINE = r"[ \t]*+\n"
+_FULL_LINE = rf"[ \t]*+[^ \t\n][^\n]*+{_END}"
+_IN4 = r"(?: {4}| {0,3}\t)"
+_IN2 = r"(?: {2}| ?\t)"
 # A fence may be indented by up to three blanks; without a closer it runs to the end.
+MD_FENCE_START = rf" {{0,3}}(?:`{{3,}}+[^`\n]*+{_END}|~{{3,}})"
 MD_FENCE = "|".join(
-    f"{BOL} {{0,3}}({ch}{{3,}}+)({info}*+){EOL}"
-    f"(?:\\n(?! {{0,3}}\\{number}{ch}*+[ \\t]*+{EOL})[^\\n]*+)*+"
-    f"(?:\\n {{0,3}}\\{number}{ch}*+[ \\t]*+{EOL}|\\z)"
-    for number, ch, info in ((1, "`", "[^`\\n]"), (3, "~", "[^\\n]"))
+    f" {{0,3}}({ch}{{3,}}+){info}*+"
+    f"(?:\\n(?! {{0,3}}\\{number}{ch}*+[ \\t]*+{_END})[^\\n]*+)*+"
+    f"(?:\\n {{0,3}}\\{number}{ch}*+[ \\t]*+)?+{_END}"
+    for number, ch, info in ((1, "`", "[^`\\n]"), (2, "~", "[^\\n]"))
 )
 MD_HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
-MD_RULE = r"^ {0,3}(?:-[ \t]*+){3,}+$|^ {0,3}(?:\*[ \t]*+){3,}+$|^ {0,3}(?:_[ \t]*+){3,}+$"
-MD_ITEM = r"^([ \t]*)([-*+]|\d{1,9}[.)])[ \t]+(.*)$"
-MD_TASK = r"^\[([ x])\] ?(.*)$"
-MD_QUOTE = r"^ {0,3}> ?(.*)$"
-MD_TABLE_ROW = r"^ {0,3}\|.*$"
-MD_TABLE_RULE = r"^ {0,3}\|[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*+\|?[ \t]*$"
+MD_HEADING_LINE = rf" {{0,3}}#{{1,6}}(?:[ \t][^\n]*+)?{_END}"
+MD_RULE_LINE = rf" {{0,3}}(?:(?:-[ \t]*+){{3,}}+|(?:\*[ \t]*+){{3,}}+|(?:_[ \t]*+){{3,}}+){_END}"
+MD_ITEM_HEAD = rf"(?!{MD_RULE_LINE}) {{0,3}}(?:[-*+]|[0-9]{{1,9}}[.)])(?=[ \t\n]|\z)"
+MD_ITEM_START = r"\A *([-*+]|[0-9]{1,9}[.)])([ ]*)"
+MD_TASK = r"\A\[([ x])\] ?"
+_UNDERLINE = rf" {{0,3}}(?:=++|-++)[ \t]*+{_END}"
+MD_SETEXT = r"\n {0,3}(=++|-++)[ \t]*+\n?\z"
+_RULE_CELL = r"[ \t]*+:?-++:?[ \t]*+"
+MD_TABLE = (
+    rf"[^|\n]*+\|[^\n]*+\n {{0,3}}(?:\|{_RULE_CELL}(?:\|{_RULE_CELL})*+\|?|{_RULE_CELL}(?:\|{_RULE_CELL})++\|?)[ \t]*+{_END}"
+)
+_STARTS = rf"(?:{MD_HEADING_LINE}| {{0,3}}>|{MD_FENCE_START}|{MD_RULE_LINE}"
+_NO_LAZY = rf"{_STARTS}|{MD_ITEM_HEAD})"
+_NO_MORE = rf"{_STARTS}| {{0,3}}(?:[-*+]|1[.)])[ \t]++[^ \t\n]|{MD_TABLE}|{_UNDERLINE})"
+_ITEM_LINE = rf"{MD_ITEM_HEAD}[^\n]*+{_END}"
+_INNER_LINE = rf"{_IN2}{_FULL_LINE}"
+_LAZY_LINE = rf"(?!{_NO_LAZY}){_FULL_LINE}"
+_GAP = rf"(?:{_BLANK_LINE})++"
+# Blank lines, code, headings, rules, quotes, lists, tables and paragraphs: the first that fits.
+MD_BLOCK = "|".join(
+    (
+        MD_FENCE,
+        _GAP,
+        r"[ \t]++\z",
+        rf"(?:{_IN4}{_FULL_LINE}(?:{_GAP}(?={_IN4}{_FULL_LINE}))?+)++",
+        MD_HEADING_LINE,
+        MD_RULE_LINE,
+        rf"(?: {{0,3}}>(?:[ \t]*+{_END}|{_FULL_LINE}(?:{_LAZY_LINE})*+))++",
+        rf"{_ITEM_LINE}(?:{_INNER_LINE}|{_ITEM_LINE}|{_LAZY_LINE}|{_GAP}(?={_INNER_LINE}|{_ITEM_LINE}))*+",
+        rf"{MD_TABLE}(?:{_LAZY_LINE})*+",
+        rf"{_FULL_LINE}(?:(?!{_NO_MORE}){_FULL_LINE})*+(?:{_UNDERLINE})?+",
+    )
+)
+# An item of a list whose markers stand at the line start or one blank behind it.
+_ITEM_BEGIN = r" ?(?:[-*+]|[0-9]{1,9}[.)])(?=[ \t\n]|\z)"
+MD_LIST_ITEM = rf"{_ITEM_BEGIN}[^\n]*+(?:\n(?!{_ITEM_BEGIN})[^\n]*+)*+(?:\n|\z)"
 MD_CODE_SPAN = r"(?<!`)(`++)([\s\S]*?[^`])\1(?!`)"
 MD_ESCAPE = r"\\[!-/:-@\[-`{-~]"
-MD_IMAGE = r"!\[([^\]]*)\]\(([^()\s]+)\)"
-MD_LINK = r"\[([^\]]*)\]\(([^()\s]+)\)"
-BARE_URL = r"(?<![\w/\">=])https?://[^\s<>\"]*[^\s<>\"?!.,;:)]"
-# Noncharacters that keep finished markup out of later inline rules.
-GUARDED_CHARS = "*_~[]`!(\\"
+MD_AUTOLINK = r"<(https?://[^\s<>]*)>"
+# A target may be in pointed brackets, hold balanced brackets, and be followed by a title.
+_LINK_TARGET = (
+    r"\(\s*(<[^<>\n]*>|(?:[^()\s<]|\([^()\s]*+\))(?:[^()\s]|\([^()\s]*+\))*+|)"
+    r"(?:\s++(\"[^\"]*+\"|'[^']*+'|\([^()]*+\)))?\s*\)"
+)
+MD_IMAGE = rf"!\[([^\]]*+)\]{_LINK_TARGET}"
+MD_LINK = rf"\[((?:[^\[\]]|\[[^\[\]]*+\])*+)\]{_LINK_TARGET}"
+# An address ends with a character that is no punctuation, or with a closed bracket.
+_ADDRESS_BRACKET = r"\([^\s()<>\"]*+\)"
+BARE_URL = (
+    rf"(?<![\w/\">=])https?://(?:(?:(?!{_ADDRESS_BRACKET})[?!.,;:'()*])*+"
+    rf"(?:{_ADDRESS_BRACKET}|[^\s<>\"?!.,;:'()*`\\]))++"
+)
+# Noncharacters that stand for others while rules are applied: finished markup is hidden from later
+# rules, and runs of inline text are marked. Texts that hold them are escaped before and after.
+GUARDED_CHARS = "*_~[]`!(\\<>&\":"
 GUARDS = "".join(chr(0xFDD0 + i) for i in range(len(GUARDED_CHARS)))
+INLINE_MARK = "\ufdde"
+RAW_MARK = "\ufde0"
+MARK_ESCAPE = "\ufdef"
+MARKS = "".join(map(chr, range(0xFDD0, 0xFDF0)))
+MARK_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef"

@@ -187,9 +187,10 @@ def _code_point(n: Column) -> Column:
 
 
 def _numeric_entity(m: Column) -> Column:
-    digits = group(m, "([0-9a-fA-F]+);")
+    digits = group(m, "0*([0-9a-fA-F]*);")
     hexa = m.startswith("&#x") | m.startswith("&#X")
-    value = F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+    short = F.when(F.length(digits).between(1, 7), digits)  # no code point needs more
+    value = F.when(hexa, F.conv(short, 16, 10)).otherwise(short).try_cast("bigint")
     return F.when(value.between(1, 0x10FFFF), _code_point(value)).otherwise(m)
 
 
@@ -197,7 +198,7 @@ def decode_entities(c: Column, names: dict[str, str] = fixed.ENTITIES) -> Column
     """Numeric entities, then the named ones with ``&amp;`` last."""
 
     def decoded(text: Column) -> Column:
-        numeric = replace_matches(text, r"&#(?:\d{1,8}|[xX][0-9a-fA-F]{1,6});", _numeric_entity)
+        numeric = replace_matches(text, r"&#(?:\d++|[xX][0-9a-fA-F]++);", _numeric_entity)
         out = F.when(text.contains("&#"), numeric).otherwise(text)
         for name, char in names.items():
             out = F.replace(out, F.lit(name), F.lit(char))

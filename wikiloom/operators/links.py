@@ -9,6 +9,7 @@ from wikiloom import fixed
 from wikiloom.functions import paths, urls
 from wikiloom.functions import text as t
 from wikiloom.functions.documents import front_matter
+from wikiloom.functions.order import page_order
 from wikiloom.functions.skew import lookup_join
 
 
@@ -106,7 +107,7 @@ def mark_known(links: DataFrame, saved: DataFrame) -> DataFrame:
 
 def page_by_title(pages: DataFrame) -> DataFrame:
     """One page per (space_key, title): the one with the smallest id."""
-    best = F.min_by(F.col("page_id"), F.col("page_id").cast("bigint"))
+    best = F.min_by(F.col("page_id"), page_order(F.col("page_id")))
     return pages.groupBy("space_key", "title").agg(best.alias("page_id"))
 
 
@@ -158,7 +159,12 @@ def frontier_one_hop(
     sources are already fetched and do not come up again.
     """
     resolved = resolve_targets(frontier_targets(links, sources, saved), pages)
-    order = F.struct(F.col("source_id").cast("bigint").alias("source"), F.col("pos").alias("pos"))
+    return reached_pages(resolved, sources, pages)
+
+
+def reached_pages(resolved: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages that resolved targets lead to; see ``frontier_one_hop``."""
+    order = F.struct(page_order(F.col("source_id")).alias("source"), F.col("pos").alias("pos"))
     reached = (
         resolved.where(F.col("found_id").isNotNull())
         .groupBy(F.col("found_id").alias("page_id"))
@@ -179,7 +185,11 @@ def frontier_failures(
     links: DataFrame, sources: DataFrame, saved: DataFrame, pages: DataFrame
 ) -> DataFrame:
     """Picked links that lead to no page."""
-    resolved = resolve_targets(frontier_targets(links, sources, saved), pages)
+    return failed_targets(resolve_targets(frontier_targets(links, sources, saved), pages))
+
+
+def failed_targets(resolved: DataFrame) -> DataFrame:
+    """Resolved targets that lead to no page."""
     return resolved.where(F.col("found_id").isNull()).select(
         "source_id", "pos", "title", F.lit("not-found").alias("reason")
     )

@@ -33,6 +33,5 @@ def publish(
             "markdown": documents.body_without_title(F.col("body")),
         }
     ).drop("body", "fallback")
-    storage = publishing.storage_of(F.col("markdown"))
-    ready = keep(work, titled.withColumn("storage", storage).drop("markdown"), "ready")
+    ready = keep(work, publishing.with_storage(titled, "markdown").drop("markdown"), "ready")
     return sync.publish_plan(ready, pages)

@@ -21,7 +21,6 @@ BLOCK_LIMIT = 4
 APPENDIX = "Additional materials"
 GUARD_TIME = "2024-01-30 12:00:00"
 PARENT_URL = f"{ORIGIN}/display/GEO/EUROPE"
-CATALOGUE = "CAT"
 ORDERS = "ORD"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,11 +87,11 @@ def _html_corpus(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _catalogue_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The catalogue pages as fetched and placed, and the saved corpus."""
+def _whole_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All pages as fetched and placed, and the saved corpus."""
     saved = _saved(spark, d)
-    work = WorkFolder.scratch(spark, "catalogue")
-    fetched = _numbered(_pages(spark, d)).where(F.col("space_key") == CATALOGUE)
+    work = WorkFolder.scratch(spark, "run")
+    fetched = _numbered(_pages(spark, d))
     fetched = work.keep(fetched, "fetched")
     slugs = work.keep(tree.assign_slugs(fetched, saved, work), "slugs")
     placed = fetched.join(tree.place_in_tree(fetched, saved, slugs), "page_id")
@@ -256,7 +255,7 @@ def title_body(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_clean(spark: SparkSession, d: str) -> DataFrame:
-    return markup.clean_html(_html_corpus(spark, d).where(~F.col("page_id").startswith("storage")))
+    return markup.clean_html(markup.normalise_storage(_html_corpus(spark, d)))
 
 
 def storage_normalise(spark: SparkSession, d: str) -> DataFrame:
@@ -294,14 +293,19 @@ def frontier_one_hop(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _shrunken_pages(spark: SparkSession, d: str) -> DataFrame:
-    """A wiki that lost its pages whose title starts with a or s, so that links to them fail."""
-    return _pages(spark, d).where(~F.col("title").rlike("^[as]"))
+def _links_to_nowhere(spark: SparkSession, d: str) -> DataFrame:
+    """The links of the link pages and two more on each, to a title and an id that no page has."""
+    lost = F.concat(
+        F.lit('<p><a href="/display/CAT/Lost+'), "page_id", F.lit('">by title</a> <a href="/pages/viewpage.action?pageId=9'),
+        "page_id", F.lit('">by id</a></p>'),
+    )
+    html = view(spark, d, "wiki_links_html").withColumn("html", F.concat("html", lost))
+    return links.page_links(html, ORIGIN)
 
 
 def frontier_failures(spark: SparkSession, d: str) -> DataFrame:
     return links.frontier_failures(
-        _links(spark, d), _sources(spark, d), _saved(spark, d), _shrunken_pages(spark, d)
+        _links_to_nowhere(spark, d), _sources(spark, d), _saved(spark, d), _pages(spark, d)
     )
 
 
@@ -317,7 +321,7 @@ def links_rewrite(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relink_changed(spark: SparkSession, d: str) -> DataFrame:
-    placed, saved = _catalogue_run(spark, d)
+    placed, saved = _whole_run(spark, d)
     written = saved.where(F.col("dir") == "geo").select("rel_path")
     return sync.relink_saved(
         saved, written, tree.lookup_by_id(placed, saved), tree.lookup_by_title(placed, saved), ORIGIN
@@ -343,18 +347,18 @@ def _all_placed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lookup_by_id(spark: SparkSession, d: str) -> DataFrame:
-    placed, saved = _catalogue_run(spark, d)
+    placed, saved = _whole_run(spark, d)
     return tree.lookup_by_id(placed, saved)
 
 
 def lookup_by_title(spark: SparkSession, d: str) -> DataFrame:
-    placed, saved = _catalogue_run(spark, d)
+    placed, saved = _whole_run(spark, d)
     return tree.lookup_by_title(placed, saved)
 
 
 def overwrite_clashes(spark: SparkSession, d: str) -> DataFrame:
-    """Pages written flat into the catalogue folder meet files of other pages there."""
-    fetched = _numbered(_pages(spark, d)).where(F.col("space_key") == CATALOGUE)
+    """All pages written flat into the catalogue folder meet files of other pages there."""
+    fetched = _numbered(_pages(spark, d))
     nothing = _saved(spark, d).limit(0)
     slugs = tree.assign_slugs(fetched, nothing)
     files = slugs.select("page_id", F.concat(F.lit("catalogue/"), "slug").alias("path"))
@@ -498,6 +502,13 @@ def stream_version_guard(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(revisions.VERDICT).parquet(out)
 
 
+def publish_rebind(spark: SparkSession, d: str) -> DataFrame:
+    """The documents whose page was updated, bound to the version that the update made."""
+    plan = publish_plan(spark, d).where(F.col("action") == "updated").select("doc_id", "url", "version")
+    saved = view(spark, d, "wiki_saved").select(F.concat(F.lit("saved/"), "rel_path", F.lit(".md")).alias("doc_id"), "text")
+    return sync.rebind(saved.join(plan, "doc_id"))
+
+
 def full_download(spark: SparkSession, d: str) -> DataFrame:
     """Download all order pages and the pages they link to into the saved corpus."""
     html = view(spark, d, "wiki_links_html")
@@ -527,6 +538,6 @@ QUERIES: dict[str, Query] = {
         samples_named, samples_extract, headings, slug_assign, part_anchors, lookup_by_id,
         lookup_by_title, link_inventory, html_blocks, html_to_markdown, anchors_rewrite,
         assemble_documents, md_to_storage, stream_latest_page, stream_version_guard,
-        full_download,
+        publish_rebind, full_download,
     )
 }
