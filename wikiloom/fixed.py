@@ -225,6 +225,8 @@ MD_HEADING = r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$"
 MD_HEADING_LINE = rf" {{0,3}}#{{1,6}}(?:[ \t][^\n]*+)?{_END}"
 MD_RULE_LINE = rf" {{0,3}}(?:(?:-[ \t]*+){{3,}}+|(?:\*[ \t]*+){{3,}}+|(?:_[ \t]*+){{3,}}+){_END}"
 MD_ITEM_HEAD = rf"(?!{MD_RULE_LINE}) {{0,3}}(?:[-*+]|[0-9]{{1,9}}[.)])(?=[ \t\n]|\z)"
+_BULLET_HEAD = rf"(?!{MD_RULE_LINE}) {{0,3}}[-*+](?=[ \t\n]|\z)"
+_NUMBER_HEAD = r" {0,3}[0-9]{1,9}[.)](?=[ \t\n]|\z)"
 MD_ITEM_START = r"\A *([-*+]|[0-9]{1,9}[.)])([ ]*)"
 MD_TASK = r"\A\[([ x])\] ?"
 _UNDERLINE = rf" {{0,3}}(?:=++|-++)[ \t]*+{_END}"
@@ -236,7 +238,6 @@ MD_TABLE = (
 _STARTS = rf"(?:{MD_HEADING_LINE}| {{0,3}}>|{MD_FENCE_START}|{MD_RULE_LINE}"
 _NO_LAZY = rf"{_STARTS}|{MD_ITEM_HEAD})"
 _NO_MORE = rf"{_STARTS}| {{0,3}}(?:[-*+]|1[.)])[ \t]++[^ \t\n]|{MD_TABLE}|{_UNDERLINE})"
-_ITEM_LINE = rf"{MD_ITEM_HEAD}[^\n]*+{_END}"
 _INNER_LINE = rf"{_IN2}{_FULL_LINE}"
 _LAZY_LINE = rf"(?!{_NO_LAZY}){_FULL_LINE}"
 _GAP = rf"(?:{_BLANK_LINE})++"
@@ -250,7 +251,10 @@ MD_BLOCK = "|".join(
         MD_HEADING_LINE,
         MD_RULE_LINE,
         rf"(?: {{0,3}}>(?:[ \t]*+{_END}|{_FULL_LINE}(?:{_LAZY_LINE})*+))++",
-        rf"{_ITEM_LINE}(?:{_INNER_LINE}|{_ITEM_LINE}|{_LAZY_LINE}|{_GAP}(?={_INNER_LINE}|{_ITEM_LINE}))*+",
+        *(
+            rf"{head}[^\n]*+{_END}(?:{_INNER_LINE}|{head}[^\n]*+{_END}|{_LAZY_LINE}|{_GAP}(?={_INNER_LINE}|{head}))*+"
+            for head in (_BULLET_HEAD, _NUMBER_HEAD)
+        ),
         rf"{MD_TABLE}(?:{_LAZY_LINE})*+",
         rf"{_FULL_LINE}(?:(?!{_NO_MORE}){_FULL_LINE})*+(?:{_UNDERLINE})?+",
     )
@@ -271,7 +275,7 @@ MD_LINK = rf"\[((?:[^\[\]]|\[[^\[\]]*+\])*+)\]{_LINK_TARGET}"
 # An address ends with a character that is no punctuation, or with a closed bracket.
 _ADDRESS_BRACKET = r"\([^\s()<>\"]*+\)"
 BARE_URL = (
-    rf"(?<![\w/\">=])https?://(?:(?:(?!{_ADDRESS_BRACKET})[?!.,;:'()*])*+"
+    rf"(?<![\w/])https?://(?:(?:(?!{_ADDRESS_BRACKET})[?!.,;:'()*])*+"
     rf"(?:{_ADDRESS_BRACKET}|[^\s<>\"?!.,;:'()*`\\]))++"
 )
 # Noncharacters that stand for others while rules are applied: finished markup is hidden from later
