@@ -10,11 +10,11 @@ after every ``STEP`` tokens, and the bits. Decoding looks up ``limit`` bits at a
 Files are Parquet tables with one row per block, so any store and commit protocol that Spark can
 write to will do:
 
-    blocks/    range, block, n_docs, n_tokens, start (tokens of the range before the block), payload
+    blocks/    range, block, n_docs, n_tokens, start (ids of all blocks before it), payload
     lengths/   id, length
 
 What goes through the driver is bounded by the vocabulary (counts, code lengths) and by the number
-of output files (the bounds of their doc_id ranges).
+of output files (the bounds and sizes of their doc_id ranges).
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wikiloom.llm.common import column
@@ -201,7 +202,7 @@ def id_counts(tokens: DataFrame) -> dict[int, int]:
 def write_ids(tokens: DataFrame, folder: str, limit: int = LIMIT) -> None:
     """Write (doc_id, n_tokens, ids) rows as files of Huffman blocks, in ascending doc_id order, null last.
 
-    ``tokens`` is read three times and should be a table. No rows write no blocks; documents without
+    ``tokens`` is read four times, twice without its ids, and should be a table. No rows write no blocks; documents without
     ids, repeated and null doc_ids are kept. A document larger than a block is a block by itself.
     """
     spark = tokens.sparkSession
@@ -221,10 +222,23 @@ def write_ids(tokens: DataFrame, folder: str, limit: int = LIMIT) -> None:
     else:
         bounds = []
     given = spark.sparkContext.broadcast(lengths)  # a byte for each id of the vocabulary
+    edges = np.array(bounds, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="right").astype(np.int32))
+
+    # A null would make the column one of floats, in which large ids lose digits.
+    known = range_of(F.coalesce("doc_id", F.lit(0).cast("bigint")))
+    of_row = F.when(F.col("doc_id").isNull(), len(bounds)).otherwise(known)
+    sizes = tokens.groupBy(of_row.alias("range")).agg(F.sum("n_tokens").alias("n")).collect()
+    in_range = np.zeros(len(bounds) + 1, np.int64)
+    for r in sizes:
+        in_range[r["range"]] = r["n"]
+    bases = (np.cumsum(in_range) - in_range).tolist()
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(given.value, limit)
-        edges = np.array(bounds, np.int64)
         for batch in batches:
             done = [code.encode(np.frombuffer(x, "<u4")) for x in batch.column(2).to_pylist()]
             keys = batch.column(0)
@@ -266,7 +280,7 @@ def write_ids(tokens: DataFrame, folder: str, limit: int = LIMIT) -> None:
                 if held and (of != here or size + n > BLOCK_TOKENS):
                     yield flush()
                 if of != here:
-                    here, number, start = of, 0, 0
+                    here, number, start = of, 0, bases[of]
                 held.append((key, n, bits, np.frombuffer(points, "<u8").astype(np.int64)))
                 size += n
         if held:
@@ -287,29 +301,15 @@ def read_ids(spark: SparkSession, folder: str, limit: int = LIMIT) -> DataFrame:
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(given.value, limit)
         for batch in batches:
-            for of, begin, payload in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for begin, payload in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                 keys, counts, tokens = open_block(payload, code)
                 ends = np.cumsum(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([of] * len(keys), pa.int32()),
-                        pa.array(keys, pa.int64()),
-                        pa.array(begin + ends - counts),
-                        pa.array(counts),
-                        id_bytes(tokens.astype("<u4", copy=False), counts),
-                    ],
-                    names=["range", "doc_id", "start", "n_tokens", "ids"],
-                )
-
-    blocks = spark.read.parquet(f"{folder}/blocks")
-    docs = blocks.select("range", "start", "payload").mapInArrow(
-        decode, "range int, doc_id bigint, start bigint, n_tokens bigint, ids binary"
-    )
-    # Only the counts of the blocks are read for this, one row per range goes into the window.
-    sizes = blocks.groupBy("range").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return docs.join(bases, "range").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
+                columns = [pa.array(keys, pa.int64()), pa.array(begin + ends - counts), pa.array(counts)]
+                columns.append(id_bytes(tokens.astype("<u4", copy=False), counts))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
+
+    blocks = spark.read.parquet(f"{folder}/blocks").select("start", "payload")
+    return blocks.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def write_documents(
