@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker keeps; when there are more it begins anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 #: Letters whose case folds one to one and which no normal form changes, and ASCII punctuation.
 LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
 STOPS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -145,7 +145,7 @@ def id_bytes(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids))])
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts of the batches with about ``most`` bytes of text each."""
     for batch in batches:
         if not batch.num_rows:
