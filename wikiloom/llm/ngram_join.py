@@ -1,8 +1,9 @@
 """N-gram Jaccard join by vertical partitioning of one global order of shingles.
 
-1. An up and down sweep (``sweep``) counts in how many documents each shingle occurs. The global
-   order is by the power of two below that number, then by hash. Shingles of one document come
-   first and can never overlap.
+1. An up and down sweep (``sweep``) counts in how many documents each shingle occurs, by the upper
+   48 bits of its hash. The global order is by the power of two below that number, then by hash.
+   Shingles of one document come first and can never overlap. (Two shingles with the same upper
+   bits count as one more frequent shingle: more work, but no other result.)
 2. Documents with the same set become one node, by a 128-bit sum of the set. A set of ``n``
    shingles can be similar to another only if at most ``(1 - t) n`` of them are its own alone;
    all other documents are done here, and for the rest only shared shingles are kept.
@@ -10,12 +11,14 @@
    candidates if they do, and if their sizes and the positions of the shared shingle allow enough
    overlap.
 4. The order is cut into fragments. The overlap of a pair is counted fragment by fragment, each
-   with the two short segments of its sets, and summed per pair; the sum decides exactly.
-
-A large group of near copies is never expanded into all pairs: candidates first meet the smallest
-node of their shingle and size class, and the components of these links are found; then only nodes
-that share a shingle with another component meet that component's nodes. Links inside a component
-need not be known, so no component is lost.
+   with the two segments that its sets have there, and summed per pair; the sum decides exactly.
+
+A large group of near copies is never expanded into all pairs. In each of some rounds a node meets
+``HUBS`` others at most, those that come first among its shingles in an order drawn anew, and only
+nodes of other components that it has not met; the links found join components. When a round
+leaves more than half of the pairs that were left before it, all nodes meet all nodes of other
+components that share a shingle of their prefix. Links inside a component need not be known, so no
+component is lost.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from wikiloom.llm.grams import mix, windows_of, words_of
 from wikiloom.llm.sweep import blobs, bucket_bits, bucket_cuts, run_count, sort_groups
 from wikiloom.session import WorkFolder
 
+#: Nodes that a node meets in a round at most.
+HUBS = 6
 #: The last frequency class (power of two) of each fragment but the last one.
 FRAGMENT_CLASSES = (1, 2, 3, 5, 8)
 
@@ -55,7 +60,8 @@ def shingles_of(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (shingle, text) pairs in the order of shingles, the distinct shingles, their numbers in the pairs."""
+    """The distinct (shingle, text) pairs in the order of shingles; the distinct 48-bit tops of the
+    shingles, which are what is counted in the sweep, and the number of its top for each pair."""
     texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
     hashes, text = shingles_of(texts, size)
     by_text = np.argsort(text, kind="stable")  # short texts come last
@@ -64,8 +70,20 @@ def _sets(table: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     text = text[order]
     keep = new.copy()
     keep[1:] |= text[1:] != text[:-1]  # the sort is stable, so a shingle's texts are in order
-    hashes, text, new = hashes[order][keep], text[keep], new[keep]
-    return hashes, text, hashes[new], np.cumsum(new) - 1
+    hashes, text = hashes[order][keep], text[keep]
+    tops = hashes >> np.uint64(16)
+    new = np.diff(tops, prepend=tops[:1] + np.uint64(1)) != 0
+    return hashes, text, tops[new], np.cumsum(new) - 1
+
+
+def _six_bytes(tops: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(tops.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _from_six_bytes(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def _total(values: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
@@ -95,13 +113,13 @@ def document_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: s
         run = table.column("run")[0].as_py()
         _, _, distinct, number = _sets(table, size)
         count = np.bincount(number, minlength=len(distinct))
-        cuts = bucket_cuts(distinct, bits)
+        cuts = bucket_cuts(distinct, bits, 48)
         many = count >= 255
         made = pa.table(
             {
                 "bucket": np.arange(len(cuts) - 1, dtype=np.int32),
                 "run": np.full(len(cuts) - 1, run, np.int32),
-                "hashes": blobs(distinct, cuts),
+                "tops": blobs(_six_bytes(distinct), cuts),
                 "counts": blobs(np.minimum(count, 255).astype(np.uint8), cuts),
                 "more": blobs(count[many].astype(np.uint64), np.searchsorted(np.flatnonzero(many), cuts)),
             }
@@ -109,7 +127,7 @@ def document_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: s
         return made.filter(pa.array(np.diff(cuts) > 0))
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(b, np.uint64) for b in table.column("hashes").to_pylist()]
+        parts = [_from_six_bytes(b) for b in table.column("tops").to_pylist()]
         sizes = np.array([len(p) for p in parts])
         count = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).astype(np.int64)
         count[count == 255] = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint64)
@@ -122,7 +140,7 @@ def document_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: s
 
     def down(table: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, of, distinct, number = _sets(table, size)
-        cuts = bucket_cuts(distinct, bits)
+        cuts = bucket_cuts(distinct, bits, 48)
         level = np.zeros(len(distinct), np.uint8)
         for b, answer in zip(answers.column("bucket").to_pylist(), answers.column("levels").to_pylist(), strict=True):
             level[cuts[b] : cuts[b + 1]] = np.frombuffer(answer, np.uint8)
@@ -162,7 +180,7 @@ def document_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: s
             }
         )
 
-    sent = ranged.groupBy("run").applyInArrow(up, "bucket int, run int, hashes binary, counts binary, more binary")
+    sent = ranged.groupBy("run").applyInArrow(up, "bucket int, run int, tops binary, counts binary, more binary")
     answers = sent.groupBy("bucket").applyInArrow(meet, "run int, bucket int, levels binary")
     return (
         ranged.groupBy("run")
@@ -180,10 +198,9 @@ def _needed(a: str, b: str, percent: int) -> Column:
     return F.expr(f"({percent} * ({a} + {b}) + {99 + percent}) div {100 + percent}")
 
 
-def _postings(nodes: DataFrame, percent: int) -> DataFrame:
-    """node, n, alone, shingle and place (in the global order) of each set's prefix, where two sets share it."""
-    prefix = F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 - alone as int)")
-    rows = nodes.select("node", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), prefix)).alias("at", "shingle"))
+def _postings(nodes: DataFrame) -> DataFrame:
+    """node, n, shingle and place (in the global order) of each set's prefix, where two sets share it."""
+    rows = nodes.select("node", "n", "alone", F.posexplode("prefix").alias("at", "shingle"))
     rows = rows.select("node", "n", "shingle", (F.col("alone") + F.col("at")).alias("place"))
     often = rows.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle")
     return rows.join(often, "shingle")
@@ -204,44 +221,92 @@ def _as_pair() -> list[Column]:
     return [F.when(turn, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(out) for c, x, y, out in (("node", "a", "b", "a"), ("node", "b", "a", "b"), ("n", "a", "b", "n_a"), ("n", "b", "a", "n_b"))]
 
 
-def star_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Each set with the smallest node of its shingle in its own size class and the next smaller one."""
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).alias("size")
-    sized = postings.withColumn("size", size)
-    hubs = sized.groupBy("shingle", "size").agg(F.min(F.struct("node", "n", "place")).alias("hub"))
-    hubs = hubs.select("shingle", "size", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("node", "n", "place")))
-    sides = sized.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "place")), F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"))
-    met = sides.join(hubs, ["shingle", "size"]).where(F.col("node_a") != F.col("node_b")).where(_possible(percent))
-    return met.select(*_as_pair()).distinct()
-
-
-def cross_pairs(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _marked(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """The postings of shingles whose sets are in several components, with label and the shingle's main one."""
+    rows = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = rows.groupBy("shingle", "label").agg(F.count("*").alias("sets"))
+    main = sizes.groupBy("shingle").agg(
+        F.max(F.struct("sets", "label")).alias("main"), F.sum("sets").alias("all"), F.count("*").alias("labels")
+    )
+    main = main.where("labels > 1").select("shingle", F.col("main.label").alias("main"), F.col("main.sets").alias("in_main"), "all")
+    return rows.join(main, "shingle")
+
+
+def hub_pairs(marked: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Each set with those of other components that come first among its shingles, in its own size
+    class and the one below, in an order drawn by ``seed``."""
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n")
+    sized = marked.withColumn("size", size)
+    drawn = [F.xxhash64(F.lit(seed * HUBS + k), "node").alias("drawn") for k in range(HUBS)]
+    firsts = [F.min(F.struct(d, "node", "n", "place", "label")).alias(f"hub_{k}") for k, d in enumerate(drawn)]
+    hubs = sized.groupBy("shingle", "size").agg(*firsts)
+    hubs = hubs.select("shingle", "size", F.array_distinct(F.array(*(F.struct(*(F.col(f"hub_{k}")[c].alias(c) for c in ("node", "n", "place", "label"))) for k in range(HUBS)))).alias("hubs"))
+    sides = sized.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "label")), F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"))
+    met = sides.join(hubs, ["shingle", "size"]).withColumn("hub", F.explode("hubs"))
+    met = met.select("node_a", "n_a", "place_a", "label_a", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("node", "n", "place", "label")))
+    met = met.where(F.col("label_a") != F.col("label_b")).where(_possible(percent))
+    chosen = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64(F.lit(seed), "node_b").alias("drawn"), "node_b", "n_b"))), 1, HUBS)
+    few = met.groupBy("node_a", "n_a").agg(F.explode(chosen).alias("hub"))
+    return few.select("node_a", "n_a", "hub.node_b", "hub.n_b").select(*_as_pair()).distinct()
+
+
+def cross_pairs(marked: DataFrame, percent: int) -> DataFrame:
     """All pairs of sets of different components that share a shingle of their prefixes.
 
-    The largest component of a shingle does not meet itself: one side is the sets outside of it.
+    The main component of a shingle does not meet itself: one side is the sets outside of it.
     """
-    marked = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = marked.groupBy("shingle", "label").agg(F.count("*").alias("sets"))
-    main = sizes.groupBy("shingle").agg(F.max(F.struct("sets", "label")).alias("main"), F.count("*").alias("labels"))
-    main = main.where("labels > 1").select("shingle", F.col("main.label").alias("main"))
-    marked = marked.join(main, "shingle")
     outside = marked.where("label <> main")
-    a = outside.select("shingle", "main", F.col("label").alias("label_a"), *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "place")))
-    b = marked.select("shingle", F.col("label").alias("label_b"), *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "place")))
+    a = outside.select(F.col("shingle").alias("shingle_a"), "main", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "label")))
+    b = marked.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "label")))
     once = (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
-    a = a.withColumnRenamed("shingle", "shingle_a")
     met = a.join(b, (F.col("shingle_a") == F.col("shingle")) & (F.col("label_a") != F.col("label_b")) & once & _possible(percent))
     return met.select(*_as_pair()).distinct()
 
 
 def similar(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose overlaps, counted fragment by fragment, add up to enough."""
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("segment_a"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("segment_b"))
-    parts = pairs.join(left, "a").join(right, ["b", "fragment"])
-    overlap = F.size(F.array_intersect("segment_a", "segment_b"))
-    sums = parts.groupBy("a", "b", "n_a", "n_b").agg(F.sum(overlap).alias("overlap"))
-    return sums.where(F.col("overlap") >= _needed("n_a", "n_b", percent)).select("a", "b")
+    left = segments.select(F.col("node").alias("a"), F.col("segments").alias("segments_a"))
+    right = segments.select(F.col("node").alias("b"), F.col("segments").alias("segments_b"))
+    both = pairs.join(left, "a").join(right, "b")
+    parts = F.zip_with("segments_a", "segments_b", lambda x, y: F.size(F.array_intersect(x, y)))
+    overlap = F.aggregate(parts, F.lit(0), lambda total, part: total + part)
+    return both.where(overlap >= _needed("n_a", "n_b", percent)).select("a", "b")
+
+
+def joined_sets(postings: DataFrame, segments: DataFrame, percent: int, work: WorkFolder) -> DataFrame:
+    """node and label of all sets that are linked to another one."""
+    spark = postings.sparkSession
+    labels = spark.createDataFrame([], "node binary, label binary")
+    tried: list[DataFrame] = []
+    turn, before = 0, None
+    while True:
+        marked = work.keep(_marked(postings, labels), f"marked-{turn}")
+        shingles = marked.groupBy("shingle").agg(F.first(F.expr("(all - in_main) * all")).alias("pairs"))
+        left = shingles.agg(F.sum("pairs").alias("n")).head()["n"] or 0
+        last = before is not None and 2 * left > before
+        pairs = cross_pairs(marked, percent) if last else hub_pairs(marked, percent, turn)
+        for done in tried:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = work.keep(pairs, f"pairs-{turn}")
+        links = work.keep(similar(pairs, segments, percent), f"links-{turn}")
+        if not links.isEmpty():
+            labels = work.keep(_relabelled(labels, links, work.part(f"joined-{turn}")), f"labels-{turn}")
+        if last:
+            return labels
+        tried.append(pairs.select("a", "b"))
+        turn, before = turn + 1, left
+
+
+def _relabelled(labels: DataFrame, links: DataFrame, work: WorkFolder) -> DataFrame:
+    """The labels of components that ``links`` join with each other and with nodes that have none yet."""
+    ends = links
+    for side in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")), side, "left")
+    between = ends.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    joined = components(between, work).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    old = labels.join(joined, labels["label"] == joined["old"], "left").select("node", F.coalesce("new", "label").alias("label"))
+    new = joined.join(labels, joined["old"] == labels["node"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+    return old.unionByName(new)
 
 
 def jaccard_components(
@@ -263,24 +328,21 @@ def jaccard_components(
     """
     sets = work.keep(document_sets(docs, size, percent, doc_id, text), "sets")
     least = F.expr(f"{percent} * (n + 1) <= 100 * n")  # else not even one more shingle would be similar
-    nodes = sets.where(F.col("shared").isNotNull() & least).groupBy("node").agg(
-        *(F.first(c).alias(c) for c in ("n", "alone", "shared", "fragments"))
-    )
-    nodes = work.keep(nodes, "nodes")
-    postings = work.keep(_postings(nodes, percent), "postings")
+    shared = sets.where(F.col("shared").isNotNull() & least)
+    prefix = F.slice("shared", F.lit(1), F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 - alone as int)"))
+    nodes = shared.withColumn("prefix", prefix).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "alone", "prefix")))
+    postings = work.keep(_postings(nodes), "postings")
+    # From here on only sets that share a shingle of their prefix with another one count.
+    active = shared.join(postings.select("node").distinct(), "node", "left_semi")
+    whole = active.groupBy("node").agg(F.first("shared").alias("shared"), F.first("fragments").alias("fragments"))
     ends = F.concat(F.array(F.lit(0)), "fragments")
     cut = F.transform(
         "fragments",
-        lambda end, k: F.struct(k.alias("fragment"), F.slice("shared", F.element_at(ends, k + 1) + 1, end - F.element_at(ends, k + 1)).alias("segment")),
+        lambda end, k: F.slice("shared", F.element_at(ends, k + 1) + 1, end - F.element_at(ends, k + 1)),
     )
-    segments = nodes.select("node", F.explode(cut).alias("part")).select("node", "part.fragment", "part.segment")
-    segments = segments.where(F.size("segment") > 0)
-
-    first = work.keep(similar(star_pairs(postings, percent), segments, percent), "links-star")
-    labels = components(first, work.part("star"))
-    second = work.keep(similar(cross_pairs(postings, labels, percent), segments, percent), "links-cross")
-    if not second.isEmpty():
-        labels = components(first.union(second), work.part("all"))
+    segments = work.keep(whole.select("node", cut.alias("segments")), "segments")
+
+    labels = joined_sets(postings, segments, percent, work)
 
     # Only sets without too many shingles of their own can be equal or similar to another.
     open_ = F.expr(f"node is not null and 100 * (n - alone) >= {percent} * n")

@@ -26,11 +26,12 @@ def bucket_bits(hashes: int) -> int:
     return max(0, (max(1, hashes) // BUCKET_HASHES).bit_length())
 
 
-def bucket_cuts(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The bounds of the buckets in sorted ``hashes``: bucket ``b`` is ``hashes[cuts[b]:cuts[b + 1]]``."""
+def bucket_cuts(hashes: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
+    """The bounds of the buckets in sorted ``hashes`` of ``width`` bits: bucket ``b`` is
+    ``hashes[cuts[b]:cuts[b + 1]]``."""
     if not bits:
         return np.array([0, len(hashes)])
-    tops = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    tops = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)
     return np.concatenate([[0], np.searchsorted(hashes, tops), [len(hashes)]])
 
 
@@ -45,7 +46,7 @@ def sort_groups(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """The slices of ``values`` between the cuts as binary values, without copying each."""
-    width = values.dtype.itemsize
+    """The slices (of rows) of ``values`` between the cuts as binary values, without copying each."""
+    width = values.dtype.itemsize * (values.shape[1] if values.ndim > 1 else 1)
     offsets = pa.array((cuts * width).astype(np.int32), pa.int32())
     return pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets.buffers()[1], pa.py_buffer(np.ascontiguousarray(values))])
