@@ -8,8 +8,10 @@
    shingles can be similar to another only if at most ``(1 - t) n`` of them are its own alone;
    all other documents are done here, and for the rest only shared shingles are kept.
 3. Two similar sets share a shingle among the first ``n - ceil(t n) + 1`` of the order. Sets are
-   candidates if they do, and if their sizes and the positions of the shared shingle allow enough
-   overlap.
+   candidates if they do, and if their sizes, the positions of the shared shingle and their marks
+   allow enough overlap. The marks are 256 bits; each shared shingle turns one of them over. Where
+   two sets' marks differ, there is a shingle that only one of them has, so they never rule out a
+   similar pair, and they rule out almost all others of a large group of loose copies.
 4. The order is cut into fragments. The overlap of a pair is counted fragment by fragment, each
    with the two segments that its sets have there, and summed per pair; the sum decides exactly.
 
@@ -37,6 +39,10 @@ from wikiloom.session import WorkFolder
 
 #: Nodes that a node meets in a round at most.
 HUBS = 6
+#: Bits of a set's marks, as words of 64.
+MARK_WORDS = 4
+#: What the two sides of a pair are compared by.
+SIDE = ("node", "n", "alone", "marks", "place", "label")
 #: The last frequency class (power of two) of each fragment but the last one.
 FRAGMENT_CLASSES = (1, 2, 3, 5, 8)
 
@@ -94,13 +100,25 @@ def _total(values: np.ndarray, by: np.ndarray, n: int) -> np.ndarray:
     return np.diff(sums[np.concatenate([[0], ends])])
 
 
+def _marks(hashes: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """The marks of ``n`` sets: a bit is set if an odd number of the set's hashes fall on it."""
+    bits = 64 * MARK_WORDS
+    at, times = np.unique(of * bits + (hashes % np.uint64(bits)).astype(np.int64), return_counts=True)
+    at = at[times % 2 == 1]
+    words = np.zeros(n * MARK_WORDS, np.uint64)
+    if len(at):
+        first = np.flatnonzero(np.diff(at >> 6, prepend=-1))
+        words[at[first] >> 6] = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+    return words.view(np.int64)
+
+
 def document_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """One row per document: doc_id, print (a hash of the text), n, node, alone, shared, fragments.
+    """One row per document: doc_id, print (a hash of the text), n, node, alone, shared, marks, fragments.
 
     ``node`` names the set (null if empty); ``alone`` is the number of shingles of no other
     document. ``shared``, the other shingles in the global order, is null where ``alone`` rules
     out any partner, and for all but one of the documents of a run with the same set.
-    ``fragments`` are the ends of the fragments in ``shared``.
+    ``marks`` are those of the shingles in ``shared``, ``fragments`` the ends of the fragments there.
     """
     rows = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).head()["n"] or 0
@@ -167,6 +185,8 @@ def document_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: s
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes[keep].view(np.int64)), mask=null)
         steps = pa.array(np.arange(n_docs + 1) * ends.shape[1], pa.int32())
         parts = pa.ListArray.from_arrays(steps, pa.array(ends.ravel()), mask=null)
+        words = pa.array(np.arange(n_docs + 1) * MARK_WORDS, pa.int32())
+        marks = pa.ListArray.from_arrays(words, pa.array(_marks(hashes[keep], of[keep], n_docs)), mask=null)
         node = blobs(names.ravel(), np.arange(n_docs + 1) * 2)
         return pa.table(
             {
@@ -176,6 +196,7 @@ def document_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: s
                 "node": pc.if_else(pa.array(n > 0), node, pa.scalar(None, pa.binary())),
                 "alone": pa.array(alone, pa.int64()),
                 "shared": lists,
+                "marks": marks,
                 "fragments": parts,
             }
         )
@@ -187,7 +208,7 @@ def document_sets(docs: DataFrame, size: int, percent: int, doc_id: str, text: s
         .cogroup(answers.groupBy("run"))
         .applyInArrow(
             down,
-            f"doc_id {id_type}, print bigint, n bigint, node binary, alone bigint, shared array<bigint>, fragments array<int>",
+            f"doc_id {id_type}, print bigint, n bigint, node binary, alone bigint, shared array<bigint>, marks array<bigint>, fragments array<int>",
         )
     )
 
@@ -199,21 +220,22 @@ def _needed(a: str, b: str, percent: int) -> Column:
 
 
 def _postings(nodes: DataFrame) -> DataFrame:
-    """node, n, shingle and place (in the global order) of each set's prefix, where two sets share it."""
-    rows = nodes.select("node", "n", "alone", F.posexplode("prefix").alias("at", "shingle"))
-    rows = rows.select("node", "n", "shingle", (F.col("alone") + F.col("at")).alias("place"))
+    """node, n, alone, marks, shingle and place (in the global order) of each set's prefix, where two sets share it."""
+    rows = nodes.select("node", "n", "alone", "marks", F.posexplode("prefix").alias("at", "shingle"))
+    rows = rows.withColumn("place", F.col("alone") + F.col("at")).drop("at")
     often = rows.groupBy("shingle").agg(F.count("*").alias("sets")).where("sets > 1").select("shingle")
     return rows.join(often, "shingle")
 
 
 def _possible(percent: int) -> Column:
-    """Whether sets a and b may be similar if the shingle at their places is the first that they share."""
-    rest = F.least(F.expr("n_a - place_a"), F.expr("n_b - place_b"))
-    return rest >= _needed("n_a", "n_b", percent)
+    """Whether sets a and b may be similar if the shingle at their places is the first that they share.
 
-
-def _side(postings: DataFrame, name: str) -> DataFrame:
-    return postings.select("shingle", *(F.col(c).alias(f"{c}_{name}") for c in ("node", "n", "place")))
+    Shingles that are a set's alone and those that the marks differ by are in one of the two only.
+    """
+    needed = _needed("n_a", "n_b", percent)
+    rest = F.least(F.expr("n_a - place_a"), F.expr("n_b - place_b"))
+    apart = F.expr(" + ".join(["alone_a", "alone_b", *(f"bit_count(marks_a[{k}] ^ marks_b[{k}])" for k in range(MARK_WORDS))]))
+    return (rest >= needed) & (apart <= F.col("n_a") + F.col("n_b") - 2 * needed)
 
 
 def _as_pair() -> list[Column]:
@@ -238,12 +260,12 @@ def hub_pairs(marked: DataFrame, percent: int, seed: int) -> DataFrame:
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))) if percent < 100 else F.col("n")
     sized = marked.withColumn("size", size)
     drawn = [F.xxhash64(F.lit(seed * HUBS + k), "node").alias("drawn") for k in range(HUBS)]
-    firsts = [F.min(F.struct(d, "node", "n", "place", "label")).alias(f"hub_{k}") for k, d in enumerate(drawn)]
+    firsts = [F.min(F.struct(d, *SIDE)).alias(f"hub_{k}") for k, d in enumerate(drawn)]
     hubs = sized.groupBy("shingle", "size").agg(*firsts)
-    hubs = hubs.select("shingle", "size", F.array_distinct(F.array(*(F.struct(*(F.col(f"hub_{k}")[c].alias(c) for c in ("node", "n", "place", "label"))) for k in range(HUBS)))).alias("hubs"))
-    sides = sized.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "label")), F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"))
+    hubs = hubs.select("shingle", "size", F.array_distinct(F.array(*(F.struct(*(F.col(f"hub_{k}")[c].alias(c) for c in SIDE)) for k in range(HUBS)))).alias("hubs"))
+    sides = sized.select("shingle", *(F.col(c).alias(f"{c}_a") for c in SIDE), F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"))
     met = sides.join(hubs, ["shingle", "size"]).withColumn("hub", F.explode("hubs"))
-    met = met.select("node_a", "n_a", "place_a", "label_a", *(F.col(f"hub.{c}").alias(f"{c}_b") for c in ("node", "n", "place", "label")))
+    met = met.select(*(f"{c}_a" for c in SIDE), *(F.col(f"hub.{c}").alias(f"{c}_b") for c in SIDE))
     met = met.where(F.col("label_a") != F.col("label_b")).where(_possible(percent))
     chosen = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64(F.lit(seed), "node_b").alias("drawn"), "node_b", "n_b"))), 1, HUBS)
     few = met.groupBy("node_a", "n_a").agg(F.explode(chosen).alias("hub"))
@@ -256,8 +278,8 @@ def cross_pairs(marked: DataFrame, percent: int) -> DataFrame:
     The main component of a shingle does not meet itself: one side is the sets outside of it.
     """
     outside = marked.where("label <> main")
-    a = outside.select(F.col("shingle").alias("shingle_a"), "main", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "label")))
-    b = marked.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "label")))
+    a = outside.select(F.col("shingle").alias("shingle_a"), "main", *(F.col(c).alias(f"{c}_a") for c in SIDE))
+    b = marked.select("shingle", *(F.col(c).alias(f"{c}_b") for c in SIDE))
     once = (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
     met = a.join(b, (F.col("shingle_a") == F.col("shingle")) & (F.col("label_a") != F.col("label_b")) & once & _possible(percent))
     return met.select(*_as_pair()).distinct()
@@ -330,7 +352,7 @@ def jaccard_components(
     least = F.expr(f"{percent} * (n + 1) <= 100 * n")  # else not even one more shingle would be similar
     shared = sets.where(F.col("shared").isNotNull() & least)
     prefix = F.slice("shared", F.lit(1), F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 - alone as int)"))
-    nodes = shared.withColumn("prefix", prefix).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "alone", "prefix")))
+    nodes = shared.withColumn("prefix", prefix).groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "alone", "marks", "prefix")))
     postings = work.keep(_postings(nodes), "postings")
     # From here on only sets that share a shingle of their prefix with another one count.
     active = shared.join(postings.select("node").distinct(), "node", "left_semi")
