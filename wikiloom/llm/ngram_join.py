@@ -17,8 +17,8 @@
 
 A large group of near copies is never expanded into all pairs. In each of some rounds a node meets
 ``HUBS`` others at most, those that come first among its shingles in an order drawn anew, and only
-nodes of other components that it has not met; the links found join components. When a round
-leaves more than half of the pairs that were left before it, all nodes meet all nodes of other
+nodes of other components that it has not met; the links found join components. The rounds end
+when no shingle has sets of two components. When a round leaves more than half of the pairs that were left before it, all nodes meet all nodes of other
 components that share a shingle of their prefix. Links inside a component need not be known, so no
 component is lost.
 """
@@ -305,6 +305,8 @@ def joined_sets(postings: DataFrame, segments: DataFrame, percent: int, work: Wo
         marked = work.keep(_marked(postings, labels), f"marked-{turn}")
         shingles = marked.groupBy("shingle").agg(F.first(F.expr("(all - in_main) * all")).alias("pairs"))
         left = shingles.agg(F.sum("pairs").alias("n")).head()["n"] or 0
+        if left == 0:
+            return labels
         last = before is not None and 2 * left > before
         pairs = cross_pairs(marked, percent) if last else hub_pairs(marked, percent, turn)
         for done in tried:
