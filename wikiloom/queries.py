@@ -21,6 +21,7 @@ BLOCK_LIMIT = 4
 APPENDIX = "Additional materials"
 GUARD_TIME = "2024-01-30 12:00:00"
 PARENT_URL = f"{ORIGIN}/display/GEO/EUROPE"
+CATALOGUE = "CAT"
 ORDERS = "ORD"
 
 Query = Callable[[SparkSession, str], DataFrame]
