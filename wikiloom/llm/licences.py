@@ -7,7 +7,10 @@ is looked up among the digests of known licences by a hash join. Built-in functi
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+import re
+from collections.abc import Iterable, Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +20,14 @@ from wikiloom.llm.common import column, text_of
 # A copyright line names a year or has a sign, so that clauses that speak of
 # "copyright notices" at the start of a line are not taken for one.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n©]*(?:copyright|\(c\)|©)[^\p{L}\p{N}\n]*(?:copyright|\(c\)|c\)|©|[12][0-9]{3}|year|yyyy)[^\n]*$"
+#: The first words of what follows a copyright notice, where line breaks are lost.
+GRANT = (
+    r"(?:permission is hereby granted|permission to use|redistribution and use|this software is provided|"
+    r"licen[sc]ed under the|everyone is permitted to copy|this (?:program|library) is free software)"
+)
+#: A copyright notice that goes on with a licence in the same line: at the start of the line, or after a heading.
+FLAT_LINE = rf"(?m)^[^\p{{L}}\p{{N}}\n©]*(?:copyright|\(c\)|©)[^\p{{L}}\p{{N}}\n]*(?:copyright|\(c\)|c\)|©|[12][0-9]{{3}}|year|yyyy)[^\n]*?(?={GRANT})"
+FLAT_NOTICE = FLAT_LINE.replace(r"(?m)^[^\p{L}\p{N}\n©]*", "").replace(r"[^\n]*?", r"[^\n]{0,1000}?")
 RIGHTS_LINE = r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 MARKS = r"[^\p{L}\p{N}]+"
 #: Stems whose British endings in -ise, -ised, -ising and -isation are read as -ize and so on.
@@ -107,11 +118,46 @@ LICENCES: dict[str, str] = {
         "software.\n\n3. This notice may not be removed or altered from any source distribution."
     ),
 }
+#: Headings that the short licences are published under.
+HEADINGS: dict[str, tuple[str, ...]] = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD", "0BSD License"),
+    "Apache-2.0 notice": (),
+    "BSD-2-Clause": (
+        "BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "The 2-Clause BSD License",
+        "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause", "BSD License",
+    ),
+    "BSD-3-Clause": (
+        "BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "The 3-Clause BSD License",
+        "3-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License", "BSD-3-Clause", "BSD License",
+    ),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "MIT-0": ("MIT No Attribution", "MIT No Attribution License", "MIT-0", "MIT-0 License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+}
+#: A table of complete licences, one JSON object (licence, text) a line.
+COMPLETE = Path(__file__).with_name("licence_texts.jsonl")
+#: Where the terms of a complete licence end; what follows tells how to apply it and is often left out.
+TERMS_END = r"(?m)^[ \t]*END OF TERMS AND CONDITIONS[ \t]*$"
+
+
+def all_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the short licences without and with a heading, and of complete ones without
+    and with what follows their terms, each also as one line, where its own notices end elsewhere."""
+    out = list(LICENCES.items())
+    out += [(k, f"{heading}\n\n{LICENCES[k]}") for k, headings in HEADINGS.items() for heading in headings]
+    for line in COMPLETE.read_text(encoding="utf-8").splitlines():
+        row = json.loads(line)
+        texts = [row["text"]]
+        if end := re.search(TERMS_END, row["text"]):
+            texts += [row["text"][: end.end()], row["text"][: end.start()]]
+        out += [(row["licence"], x) for text in texts for x in (text, " ".join(text.split()))]
+    return out
 
 
 def canonical(text: Column) -> Column:
     out = F.lower(text)
-    for line in (COPYRIGHT_LINE, RIGHTS_LINE):
+    for line in (FLAT_LINE, FLAT_NOTICE, COPYRIGHT_LINE, RIGHTS_LINE):
         out = F.regexp_replace(out, line, " ")
     out = F.trim(F.regexp_replace(out, MARKS, " "))
     out = F.regexp_replace(out, ISE, "$1iz$2")
@@ -126,9 +172,10 @@ def known_digests(texts: DataFrame, licence: str = "licence", text: str = "text"
     return rows.groupBy("digest").agg(F.array_join(F.array_sort(F.collect_set("licence")), " or ").alias("licence"))
 
 
-def published(spark: SparkSession, texts: Mapping[str, str] = LICENCES) -> DataFrame:
-    """The texts as a table (licence, text) without Python rows."""
-    rows = F.array(*(F.struct(F.lit(k).alias("licence"), F.lit(v).alias("text")) for k, v in texts.items()))
+def published(spark: SparkSession, texts: Mapping[str, str] | Iterable[tuple[str, str]] | None = None) -> DataFrame:
+    """The texts, those of ``all_texts`` if none are given, as a table (licence, text) without Python rows."""
+    pairs = all_texts() if texts is None else texts.items() if isinstance(texts, Mapping) else texts
+    rows = F.array(*(F.struct(F.lit(k).alias("licence"), F.lit(v).alias("text")) for k, v in pairs))
     return spark.range(1).select(F.inline(rows))
 
 
