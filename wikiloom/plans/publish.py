@@ -33,5 +33,6 @@ def publish(
             "markdown": documents.body_without_title(F.col("body")),
         }
     ).drop("body", "fallback")
-    ready = keep(work, publishing.with_storage(titled, "markdown").drop("markdown"), "ready")
+    rendered = publishing.with_storage(titled, "markdown", work=work and work.part("storage"))
+    ready = keep(work, rendered.drop("markdown"), "ready")
     return sync.publish_plan(ready, pages)
