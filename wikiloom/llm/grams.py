@@ -15,7 +15,7 @@ import numpy as np
 BASE = np.uint64(0x9E3779B97F4A7C55)
 _WORD = bytes(int(i not in b" \t\n\x0b\x0c\r") for i in range(256))
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wikiloom.llm.common import column, fresh
-from wikiloom.llm.tokens import ended_ids, id_bytes, slices, tokenizer
+from wikiloom.llm.memory import frugal
+from wikiloom.llm.tokens import close_tokenizers, ended_ids, id_bytes, slices, tokenizer
 
 #: A sequence id is bucket, input partition and number in the partition, in this many bits each.
 PARTITION_BITS, NUMBER_BITS = 24, 33
@@ -55,6 +56,7 @@ def pack(
     end_id: int = 1,
     doc_id: str = "doc_id",
     text: str = "text",
+    keep_words: bool = True,
 ) -> DataFrame:
     """Sequences of at most ``limit`` (a power of two) tokens, one row per piece.
 
@@ -64,7 +66,8 @@ def pack(
 
     A null or empty text is the end id alone. Null and repeated doc_ids are kept, each row as a
     document of its own; no rows give no rows; extra columns of ``docs`` are ignored. A text of any
-    length is cut like any other and never leaves its task.
+    length is cut like any other and never leaves its task. Without ``keep_words`` a worker forgets
+    its tokenizer at the end of a task, for jobs with other steps that need the memory.
     """
     if limit < 1 or limit & (limit - 1):
         raise ValueError("limit must be a power of two")
@@ -105,7 +108,7 @@ def pack(
         column(docs, doc_id).alias(doc_id), column(docs, text).cast("string").alias(text), F.spark_partition_id().alias(part)
     )
     return rows.mapInArrow(
-        cut,
+        cut if keep_words else frugal(cut, close_tokenizers),
         f"doc_id {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, bucket bigint, "
         "sequence_id bigint, offset bigint",
     )

@@ -127,12 +127,17 @@ _OPEN: dict[str, WordTokenizer] = {}
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """The worker's tokenizer for a file; it and the words it knows outlive a task."""
+    """The worker's tokenizer for a file; it and the words it knows outlive a task, see ``close_tokenizers``."""
     if path not in _OPEN:
         _OPEN[path] = WordTokenizer(path)
     return _OPEN[path]
 
 
+def close_tokenizers() -> None:
+    """Forget the worker's tokenizers and the words they know."""
+    _OPEN.clear()
+
+
 def ended_ids(words: WordTokenizer, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """``words.ids`` with ``end_id`` after the ids of each text."""
     ids, counts = words.ids(texts)

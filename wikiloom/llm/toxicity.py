@@ -10,7 +10,7 @@ keeps small. Scoring reads each text once and sends nothing but the score back.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from wikiloom.llm.common import column
 from wikiloom.llm.grams import mix
+from wikiloom.llm.memory import frugal
 from wikiloom.llm.tokens import slices
 from wikiloom.session import WorkFolder
 
@@ -31,7 +32,7 @@ LEAST_Z = 4.0
 MAX_TRAINING = 20_000
 SMOOTHING = 0.5
 _BASE = np.uint64(0x9E3779B97F4A7C55)
-_SLICE = 1 << 20
+_SLICE = 1 << 18
 
 
 def cells_of(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -69,16 +70,21 @@ class Model:
     constant: float
     share: float | None = None
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scorer(self) -> Callable[[list[str]], np.ndarray]:
+        """The function from texts to scores, with the table of weights it looks up."""
         if self.share is not None:
-            return np.full(len(texts), self.share)
+            return lambda texts: np.full(len(texts), self.share)
         table = np.zeros(1 << CELL_BITS, np.float64)
         table[self.cells] = self.weights
         wanted = np.zeros(1 << CELL_BITS, bool)
         wanted[self.cells] = True
-        text, cell = cells_of(texts, wanted)
-        total = np.bincount(text, weights=table[cell], minlength=len(texts)) + self.constant
-        return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+
+        def scores(texts: list[str]) -> np.ndarray:
+            text, cell = cells_of(texts, wanted)
+            total = np.bincount(text, weights=table[cell], minlength=len(texts)) + self.constant
+            return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+
+        return scores
 
 
 # --- learning ------------------------------------------------------------------------------
@@ -116,7 +122,7 @@ def _count_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def log_ratios(rows: DataFrame, toxic: int, other: int) -> DataFrame:
     """cell and scale of the cells whose log-count ratio is at least ``LEAST_Z`` standard errors away from 0."""
-    counts = rows.mapInArrow(_count_cells, "cell bigint, toxic bigint, other bigint").groupBy("cell")
+    counts = rows.mapInArrow(frugal(_count_cells), "cell bigint, toxic bigint, other bigint").groupBy("cell")
     counts = counts.agg(*((F.sum(c) + SMOOTHING).alias(c) for c in ("toxic", "other")))
     ratio = F.log(F.col("toxic") / (toxic + 2 * SMOOTHING)) - F.log(F.col("other") / (other + 2 * SMOOTHING))
     error = F.sqrt(1 / F.col("toxic") + 1 / F.col("other"))
@@ -172,7 +178,7 @@ def learn(
             yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["toxic", "cells"])
 
     # Ordered, so that the sums of the fit do not depend on where the rows were.
-    fitted = rows.mapInArrow(vectors, "toxic int, cells array<int>").orderBy("toxic", "cells").toArrow()
+    fitted = rows.mapInArrow(frugal(vectors), "toxic int, cells array<int>").orderBy("toxic", "cells").toArrow()
     lists = fitted.column("cells").combine_chunks()
     lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
     ends = lists.offsets.to_numpy()
@@ -192,13 +198,13 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     given = docs.sparkSession.sparkContext.broadcast(model)  # 16 bytes for each of at most 2**20 cells
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = given.value.scorer()
         for batch in slices(batches, 1, _SLICE):
-            scores = given.value.scores(_texts(batch, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(_texts(batch, 1)))], names=["doc_id", "score"])
 
     rows = docs.select(column(docs, doc_id).alias("doc_id"), column(docs, text).cast("string").alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    scored = rows.mapInArrow(judge, f"doc_id {id_type}, score double")
+    scored = rows.mapInArrow(frugal(judge), f"doc_id {id_type}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -208,7 +214,8 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFram
     names = docs.columns
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = given.value.scorer()
         for batch in slices(batches, names.index(text), _SLICE):
-            yield batch.filter(pa.array(given.value.scores(_texts(batch, names.index(text))) < 0.5))
+            yield batch.filter(pa.array(scores(_texts(batch, names.index(text))) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(frugal(keep), docs.schema)
