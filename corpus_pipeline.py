@@ -39,7 +39,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens with their ids."""
-    pieces = packing.pack(docs, public_tokenizers.path(TOKENIZER), limit=2048, end_id=1)
+    pieces = packing.pack(docs, public_tokenizers.path(TOKENIZER), limit=2048, end_id=1, keep_words=False)
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
