@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from wikiloom.llm import (
     exact,
+    hard_negatives,
     huffman,
+    languages,
+    lexical,
     licences,
     mixture,
     ngram_join,
@@ -98,6 +101,21 @@ def op10_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return rollup.totals()
 
 
+def op11_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    vectors = read(spark, d, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, vectors.where("vec_id % 50 = 0"), WorkFolder.scratch(spark, "op11"), positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+def op12_lexical_search(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.search(read(spark, d, "documents"), read(spark, d, "benchmark"), WorkFolder.scratch(spark, "op12"), k=10)
+
+
+def op13_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return languages.identify(docs, languages.learn(docs))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk_search": op2_topk_search,
@@ -109,10 +127,15 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_ngram_join": op9_ngram_join,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_language_id": op13_language_id,
 }
 
 ORACLES: dict[str, str] = {
     "op3_licence_scan": licences.SCAN_SQL,
     "op6_exact_dedup": exact.GROUPS_SQL,
     "op10_token_counts": token_counts.COUNTS_SQL,
+    "op11_hard_negatives": hard_negatives.NEGATIVES_SQL,
+    "op12_lexical_search": lexical.SEARCH_SQL,
 }
