@@ -27,9 +27,11 @@ from wikiloom.llm.common import column
 from wikiloom.session import WorkFolder
 
 #: Rows that the codebooks are learned from at most, and centroids of each half.
-SAMPLE_ROWS, CENTROIDS = 4096, 16
+SAMPLE_ROWS, CENTROIDS = 4096, 8
 #: A shard holds 2**SHARD_BITS vectors at most.
 SHARD_BITS, GROUP_ANCHORS = 14, 512
+#: Vectors of the cells that are scored before what they add is merged, at first and at most.
+MERGE_FIRST, MERGE_MOST = 256, 4096
 #: What bounds are raised by, against rounding: scores are whole numbers.
 SLACK = 0.5
 
@@ -96,10 +98,14 @@ def learn_codebooks(rows: DataFrame, width: int) -> Codebooks:
 
 
 class MultiIndex:
-    """The vectors of a shard by cell, with radii of the codes."""
+    """The vectors of a shard by cell, with radii of the codes; ``largest`` is the largest term of any anchor.
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, matrix: np.ndarray, books: Codebooks):
+    Products are taken in doubles where all sums are exact in them, else in 64-bit integers.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, matrix: np.ndarray, books: Codebooks, largest: int):
         self.books = books
+        exact = float(np.abs(matrix.astype(float)).max(initial=0)) * largest * books.width < 2**53
         halves = (matrix[:, : books.half].astype(float), matrix[:, books.half :].astype(float))
         codes, self.radii = [], []
         for points, centres in zip(halves, (books.first, books.second), strict=True):
@@ -111,7 +117,7 @@ class MultiIndex:
             self.radii.append(radius)
         cell = codes[0] * len(books.second) + codes[1]
         order = np.lexsort((ids, cell))
-        self.ids, self.labels, self.matrix = ids[order], labels[order], matrix[order]
+        self.ids, self.labels, self.matrix = ids[order], labels[order], matrix[order].astype(float if exact else np.int64)
         cells, begins = np.unique(cell[order], return_index=True)
         ends = np.append(begins[1:], len(ids))
         self.ranges = {int(c): (int(a), int(b)) for c, a, b in zip(cells, begins, ends, strict=True)}
@@ -144,45 +150,87 @@ class MultiIndex:
                 slack = SLACK + 1e-9 * abs(bound)
                 yield slack - bound, low_1[i] + low_2[j] - slack, slice(*rows)
 
+    def _taken(self, taken: list[slice], query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """vec_ids, labels and scores of the vectors of some cells."""
+        query = query.astype(self.matrix.dtype)
+        scores = np.concatenate([self.matrix[rows] @ query for rows in taken]).astype(np.int64)
+        return np.concatenate([self.ids[rows] for rows in taken]), np.concatenate([self.labels[rows] for rows in taken]), scores
+
     def positives(self, own: int, label: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """vec_ids and scores of the best ``k`` vectors with the label and another vec_id; ties by vec_id."""
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def merge() -> None:
+            nonlocal best
+            ids, labels, scores = self._taken(taken, query)
+            keep = (labels == label) & (ids != own)
+            if len(best[1]) == k:
+                keep &= scores >= best[1][-1]
+            best = _best(best, ids[keep], scores[keep], k)
+
+        taken: list[slice] = []
+        size, most = 0, MERGE_FIRST
         for bound, _, rows in self.visit(query):
-            if len(ids) == k and bound < scores[-1]:
+            if len(best[1]) == k and bound < best[1][-1]:
                 break
-            keep = (self.labels[rows] == label) & (self.ids[rows] != own)
-            if keep.any():
-                ids = np.concatenate([ids, self.ids[rows][keep]])
-                scores = np.concatenate([scores, self.matrix[rows][keep] @ query])
-                top = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[top], scores[top]
-        return ids, scores
-
-    def negatives(self, label: int, query: np.ndarray, lows: list[int], highs: list[int], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+            taken.append(rows)
+            size += rows.stop - rows.start
+            if size >= most:
+                merge()
+                taken, size, most = [], 0, min(2 * most, MERGE_MOST)
+        if taken:
+            merge()
+        return best
+
+    def negatives(
+        self, label: int, query: np.ndarray, lows: list[int], highs: list[int], k: int
+    ) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each window from low to high, the best ``k`` vectors of other labels with a score in it."""
-        none = np.zeros(0, np.int64)
-        found = [(none, none)] * len(lows)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(lows)
         open_ = [w for w in range(len(lows)) if lows[w] <= highs[w]]
         if not open_:
             return found
         top = max(highs[w] for w in open_)
+        least = list(lows)  # what a score must reach to matter to a window
+
+        def merge() -> None:
+            ids, labels, scores = self._taken(taken, query)
+            some = (labels != label) & (scores >= min(least[w] for w in open_)) & (scores <= top)
+            ids, scores = ids[some], scores[some]
+            for w in open_:
+                inside = (scores >= least[w]) & (scores <= highs[w])
+                if inside.any():
+                    found[w] = _best(found[w], ids[inside], scores[inside], k)
+                    if len(found[w][1]) == k:
+                        least[w] = int(found[w][1][-1])
+
+        taken: list[slice] = []
+        size, most = 0, MERGE_FIRST
         for bound, floor, rows in self.visit(query):
-            open_ = [w for w in open_ if bound >= (found[w][1][-1] if len(found[w][1]) == k else lows[w])]
-            if not open_:
-                break
+            if bound < least[open_[0]]:
+                open_ = [w for w in open_ if bound >= least[w]]  # the others are certified
+                if not open_:
+                    break
             if floor > top:
                 continue
-            other = self.labels[rows] != label
-            ids, scores = self.ids[rows][other], self.matrix[rows][other] @ query
-            for w in open_:
-                inside = (scores >= lows[w]) & (scores <= highs[w])
-                if inside.any():
-                    near, score = np.concatenate([found[w][0], ids[inside]]), np.concatenate([found[w][1], scores[inside]])
-                    best = np.lexsort((near, -score))[:k]
-                    found[w] = near[best], score[best]
+            taken.append(rows)
+            size += rows.stop - rows.start
+            if size >= most:
+                merge()
+                taken, size, most = [], 0, min(2 * most, MERGE_MOST)
+        if taken:
+            open_ = [w for w in range(len(lows)) if lows[w] <= highs[w]]
+            merge()
         return found
 
 
+def _best(best: tuple[np.ndarray, np.ndarray], ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """vec_ids and scores of the best ``k`` of both; of equal scores, smaller vec_ids."""
+    ids, scores = np.concatenate([best[0], ids]), np.concatenate([best[1], scores])
+    top = np.lexsort((ids, -scores))[:k]
+    return ids[top], scores[top]
+
+
 # --- job -----------------------------------------------------------------------------------
 def mine(
     vectors: DataFrame,
@@ -228,19 +276,19 @@ def mine(
     group = F.pmod(F.xxhash64("anchor_id", "anchor"), F.lit(groups)).cast("int")
     left = rows.select(bucket.alias("bucket"), every_group.alias("group"), "shard", "vec_id", "label", "terms")
 
-    def indexes(table: pa.Table) -> Iterator[MultiIndex]:
-        shard = table.column("shard").to_numpy()
+    def indexes(table: pa.Table, asked: np.ndarray) -> Iterator[MultiIndex]:
+        shard, largest = table.column("shard").to_numpy(), int(np.abs(asked).max())
         for s in np.unique(shard):
             part = table.filter(pa.array(shard == s))
             yield MultiIndex(
-                part.column("vec_id").to_numpy(), part.column("label").to_numpy(), matrix_of(part.column("terms"), width), books.value
+                part.column("vec_id").to_numpy(), part.column("label").to_numpy(), matrix_of(part.column("terms"), width), books.value, largest
             )
 
     def find_positives(table: pa.Table, queries: pa.Table) -> pa.Table:
         found: list[list[np.ndarray]] = [[], [], []]
         if table.num_rows and queries.num_rows:
             own, labels, asked = queries.column("anchor_id").to_numpy(), queries.column("label").to_numpy(), matrix_of(queries.column("terms"), width)
-            for index in indexes(table):
+            for index in indexes(table, asked):
                 for n in range(len(own)):
                     ids, scores = index.positives(int(own[n]), int(labels[n]), asked[n], positives)
                     for out, x in zip(found, (np.full(len(ids), n), ids, scores), strict=True):
@@ -266,7 +314,7 @@ def mine(
             labels, asked, held = queries.column("label").to_numpy(), matrix_of(queries.column("terms"), width), queries.column("best").to_pylist()
             lows = [[-(-low * x["score"] // 100) for x in b] for b in held]
             highs = [[high * x["score"] // 100 for x in b] for b in held]
-            for index in indexes(table):
+            for index in indexes(table, asked):
                 for n in range(len(labels)):
                     for w, (ids, scores) in enumerate(index.negatives(int(labels[n]), asked[n], lows[n], highs[n], negatives)):
                         for x, y in zip(out, (np.full(len(ids), n), np.full(len(ids), w), ids, scores), strict=True):
