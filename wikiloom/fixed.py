@@ -228,7 +228,6 @@ MD_ITEM_HEAD = rf"(?!{MD_RULE_LINE}) {{0,3}}(?:[-*+]|[0-9]{{1,9}}[.)])(?=[ \t\n]
 _BULLET_HEAD = rf"(?!{MD_RULE_LINE}) {{0,3}}[-*+](?=[ \t\n]|\z)"
 _NUMBER_HEAD = r" {0,3}[0-9]{1,9}[.)](?=[ \t\n]|\z)"
 MD_ITEM_START = r"\A *([-*+]|[0-9]{1,9}[.)])([ ]*)"
-MD_TASK = r"\A\[([ x])\] ?"
 _UNDERLINE = rf" {{0,3}}(?:=++|-++)[ \t]*+{_END}"
 MD_SETEXT = r"\n {0,3}(=++|-++)[ \t]*+\n?\z"
 _RULE_CELL = r"[ \t]*+:?-++:?[ \t]*+"
@@ -262,28 +261,45 @@ MD_BLOCK = "|".join(
 # An item of a list whose markers stand at the line start or one blank behind it.
 _ITEM_BEGIN = r" ?(?:[-*+]|[0-9]{1,9}[.)])(?=[ \t\n]|\z)"
 MD_LIST_ITEM = rf"{_ITEM_BEGIN}[^\n]*+(?:\n(?!{_ITEM_BEGIN})[^\n]*+)*+(?:\n|\z)"
+# Noncharacters that stand for others while rules are applied: finished markup is hidden from later
+# rules, and runs of inline text are marked. Texts that hold them are escaped before and after.
+GUARDED_CHARS = "*_~[]`!(\\<>&\":"
+GUARDS = "".join(chr(0xFDD0 + i) for i in range(len(GUARDED_CHARS)))
+LABEL_START, LABEL_END = "\ufde1", "\ufde2"
+_LT, _GT, _QUOTE = (GUARDS[GUARDED_CHARS.index(x)] for x in '<>"')
+# Finished markup, which no address, target or title runs into.
+_FINISHED = f"{_LT}{_GT}{_QUOTE}{LABEL_START}{LABEL_END}"
+FINISHED_TAG = f"{_LT}[^{_GT}]*+{_GT}|[{LABEL_START}{LABEL_END}]"
 MD_CODE_SPAN = r"(?<!`)(`++)([\s\S]*?[^`])\1(?!`)"
 MD_ESCAPE = r"\\[!-/:-@\[-`{-~]"
 MD_AUTOLINK = r"<(https?://[^\s<>]*)>"
 # A target may be in pointed brackets, hold balanced brackets, and be followed by a title.
 _LINK_TARGET = (
-    r"\(\s*(<[^<>\n]*>|(?:[^()\s<]|\([^()\s]*+\))(?:[^()\s]|\([^()\s]*+\))*+|)"
-    r"(?:\s++(\"[^\"]*+\"|'[^']*+'|\([^()]*+\)))?\s*\)"
+    rf"\(\s*(<[^<>\n{_FINISHED}]*>|(?:[^()\s<{_FINISHED}]|\([^()\s{_FINISHED}]*+\))(?:[^()\s{_FINISHED}]|\([^()\s{_FINISHED}]*+\))*+|)"
+    rf"(?:\s++(\"[^\"{_FINISHED}]*+\"|'[^'{_FINISHED}]*+'|\([^(){_FINISHED}]*+\)))?\s*\)"
 )
+# A box, not the label of a link.
+MD_TASK = rf"\A\[([ x])\](?!{_LINK_TARGET}) ?"
 MD_IMAGE = rf"!\[([^\]]*+)\]{_LINK_TARGET}"
 MD_LINK = rf"\[((?:[^\[\]]|\[[^\[\]]*+\])*+)\]{_LINK_TARGET}"
 # An address ends with a character that is no punctuation, or with a closed bracket.
-_ADDRESS_BRACKET = r"\([^\s()<>\"]*+\)"
+_ADDRESS_BRACKET = rf"\([^\s()<>\"{_FINISHED}]*+\)"
 BARE_URL = (
     rf"(?<![\w/])https?://(?:(?:(?!{_ADDRESS_BRACKET})[?!.,;:'()*])*+"
-    rf"(?:{_ADDRESS_BRACKET}|[^\s<>\"?!.,;:'()*`\\]))++"
+    rf"(?:{_ADDRESS_BRACKET}|[^\s<>\"?!.,;:'()*`\\{_FINISHED}]))++"
 )
-# Noncharacters that stand for others while rules are applied: finished markup is hidden from later
-# rules, and runs of inline text are marked. Texts that hold them are escaped before and after.
-GUARDED_CHARS = "*_~[]`!(\\<>&\":"
-GUARDS = "".join(chr(0xFDD0 + i) for i in range(len(GUARDED_CHARS)))
 INLINE_MARK = "\ufdde"
 RAW_MARK = "\ufde0"
+# Runs of the marks of emphasis with the characters before and behind them, and the ends of link labels.
+MD_RUN_MARKS = rf"\*++|_++|~++|[{LABEL_START}{LABEL_END}]"
+MD_RUN = rf"(?<=(^|[\s\S]))({MD_RUN_MARKS})(?=([\s\S]|\z))"
+# Punctuation next to a run; what stands for finished markup counts as such.
+MD_RUN_EDGE = rf"[\p{{P}}\p{{S}}{GUARDS}{LABEL_START}{LABEL_END}]"
+MD_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# Marks that an entity cannot make.
+ENTITY_GUARDED = "*_~[]`!(\\"
+# Characters that XML cannot hold.
+NOT_XML = r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]"
 MARK_ESCAPE = "\ufdef"
 MARKS = "".join(map(chr, range(0xFDD0, 0xFDF0)))
 MARK_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdef"

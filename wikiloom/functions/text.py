@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -207,6 +209,19 @@ def decode_entities(c: Column, names: dict[str, str] = fixed.ENTITIES) -> Column
     return bind(c, decoded)
 
 
+@cache
+def _entity_names() -> str:
+    """All named entities of HTML, as a JSON object."""
+    return json.dumps({name[:-1]: chars for name, chars in html.entities.html5.items() if name.endswith(";")})
+
+
+def entity_text(m: Column) -> Column:
+    """What an entity with its ``&`` and ``;`` stands for; an unknown one stays as it is."""
+    names = F.from_json(F.lit(_entity_names()), "map<string,string>")
+    named = F.try_element_at(names, F.substr(m, F.lit(2), F.length(m) - 2))
+    return F.when(m.startswith("&#"), _numeric_entity(m)).otherwise(F.coalesce(named, m))
+
+
 def escape_html(c: Column) -> Column:
     for char, name in fixed.HTML_ESCAPES.items():
         c = F.replace(c, F.lit(char), F.lit(name))

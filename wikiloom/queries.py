@@ -463,6 +463,11 @@ def md_to_storage(spark: SparkSession, d: str) -> DataFrame:
     return publishing.md_to_storage(_order_docs(spark, d))
 
 
+def md_emphasis(spark: SparkSession, d: str) -> DataFrame:
+    """Emphasis, links and tasks whose marks cross, as markup that is well formed."""
+    return publishing.md_to_storage(view(spark, d, "marked_docs"))
+
+
 # --- sync and streams --------------------------------------------------------------------------------
 def version_conflicts(spark: SparkSession, d: str) -> DataFrame:
     versions = view(spark, d, "page_versions")
@@ -538,7 +543,7 @@ QUERIES: dict[str, Query] = {
         links_unique, headings_dropped, run_summary, issue_table_flat, fence_state, code_blocks,
         samples_named, samples_extract, headings, slug_assign, part_anchors, lookup_by_id,
         lookup_by_title, link_inventory, html_blocks, html_to_markdown, anchors_rewrite,
-        assemble_documents, md_to_storage, stream_latest_page, stream_version_guard,
+        assemble_documents, md_to_storage, md_emphasis, stream_latest_page, stream_version_guard,
         publish_rebind, full_download,
     )
 }
