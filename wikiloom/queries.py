@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wikiloom.functions import documents, paths
 from wikiloom.operators import assembly, lines, links, markup, publishing, sync, tree
-from wikiloom.plans.download import download
+from wikiloom.plans.download import download, run_download
 from wikiloom.plans.publish import publish
 from wikiloom.session import WorkFolder, scratch_folder
 from wikiloom.sources import corpus, page_dump
@@ -515,22 +515,43 @@ def publish_rebind(spark: SparkSession, d: str) -> DataFrame:
     return sync.rebind(saved.join(plan, "doc_id"))
 
 
-def full_download(spark: SparkSession, d: str) -> DataFrame:
-    """Download all order pages and the pages they link to into the saved corpus."""
+def _download_tables(spark: SparkSession, d: str, work: WorkFolder) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The order pages and all others, the pages to begin with, and the saved corpus."""
     html = view(spark, d, "wiki_links_html")
     pages = (
         _versioned_pages(spark, d)
         .join(html, "page_id", "left")
         .withColumn("html", F.coalesce("html", F.concat(F.lit("<p>"), "title", F.lit("</p>"))))
     )
-    work = WorkFolder.scratch(spark, "download")
     pages = work.keep(pages, "pages")
     roots = pages.where(F.col("space_key") == ORDERS).where(F.col("html").contains("<a ")).select("page_id")
-    saved = work.keep(_saved(spark, d), "saved")
+    return pages, roots, work.keep(_saved(spark, d), "saved")
+
+
+def full_download(spark: SparkSession, d: str) -> DataFrame:
+    """Download all order pages and the pages they link to into the saved corpus."""
+    work = WorkFolder.scratch(spark, "download")
+    pages, roots, saved = _download_tables(spark, d, work)
     result = download(pages, roots, saved, ORIGIN, GENERATED, work=work)
     return result.files.select("page_id", "rel_path", "text", F.size("samples").alias("samples"))
 
 
+def download_commit(spark: SparkSession, d: str) -> DataFrame:
+    """The same download as a committed run, repeated, and its pages as the corpus then holds them."""
+    work = WorkFolder.scratch(spark, "commit")
+    pages, roots, saved = _download_tables(spark, d, work)
+    folder, run = f"{work.folder}/corpus", f"{work.folder}/run"
+    for _ in range(2):
+        run_download(spark, pages, roots, saved, ORIGIN, GENERATED, folder, run)
+    own = spark.read.parquet(f"{run}/files").select("page_id")
+    counts = corpus.read_table(spark, f"{folder}/samples").groupBy("page_id").agg(F.count("*").cast("int").alias("samples"))
+    docs = corpus.read_table(spark, f"{folder}/docs").join(own, "page_id", "left_semi").join(counts, "page_id", "left")
+    return docs.select("page_id", "rel_path", "text", F.coalesce("samples", F.lit(0)).alias("samples"))
+
+
+#: Queries whose rows are those of another one, so that they share its oracle.
+SAME_ROWS = {"download_commit": "full_download"}
+
 QUERIES: dict[str, Query] = {
     fn.__name__: fn
     for fn in (
@@ -544,6 +565,6 @@ QUERIES: dict[str, Query] = {
         samples_named, samples_extract, headings, slug_assign, part_anchors, lookup_by_id,
         lookup_by_title, link_inventory, html_blocks, html_to_markdown, anchors_rewrite,
         assemble_documents, md_to_storage, md_emphasis, stream_latest_page, stream_version_guard,
-        publish_rebind, full_download,
+        publish_rebind, full_download, download_commit,
     )
 }

@@ -12,10 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wikiloom.sources import snapshots
+
 REVISION = "page_id string, version int, client string, ts timestamp, event_id bigint"
 VERDICT = (
     "page_id string, event_id bigint, client string, seen int, version int, accepted boolean"
 )
+LATEST = "latest"
+#: Versions of the table of newest revisions that stay readable.
+KEPT_VERSIONS = 3
+_COLUMNS = ("page_id", "version", "client", "ts", "event_id")
 _STATE = "version int, clients map<string, int>"
 
 
@@ -35,15 +41,18 @@ def latest(revisions: DataFrame) -> DataFrame:
 
 
 def follow_latest(revisions: DataFrame, out: str, checkpoint: str) -> None:
-    """Append every micro-batch's newest revisions to ``out`` until the stream is used up.
+    """Keep the newest revision of every page in ``out`` until the stream is used up.
 
-    A batch writes its own folder, overwriting what a failed attempt left there, so replays
-    change nothing and nothing but the batch itself is ever shuffled. ``read_latest`` takes the
-    newest over all batches; older folders can be compacted by ``latest`` at any time.
+    After every micro-batch the table holds one row for each page: the batch's newest revisions are
+    merged into the shards they fall into, as one new version of the table. A batch that is replayed
+    finds its version there and changes nothing; versions before the last ones are removed.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        latest(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        store = snapshots.Store(batch.sparkSession, out)
+        changes = {LATEST: (latest(batch).select(*_COLUMNS), ["page_id"])}
+        store.merge(changes, run=f"{checkpoint}/{number}", combine=lambda before, new: latest(before.unionByName(new)).select(*_COLUMNS))
+        store.expire(keep=KEPT_VERSIONS)
 
     (
         revisions.writeStream.foreachBatch(write)
@@ -55,7 +64,9 @@ def follow_latest(revisions: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def read_latest(spark: SparkSession, out: str) -> DataFrame:
-    return latest(spark.read.parquet(out))
+    """The table that ``follow_latest`` keeps; empty before its first batch."""
+    found = snapshots.Store(spark, out).read(LATEST)
+    return spark.createDataFrame([], REVISION).select(*_COLUMNS) if found is None else found
 
 
 def _judge(
