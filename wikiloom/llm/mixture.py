@@ -286,18 +286,21 @@ def plan_mix(
 
 
 def taken(mix: Mix) -> DataFrame:
-    """One row per document of the input: source, doc_id, size, print, copies, source_size, target, taken."""
+    """One row per item: source, doc_id, size, print, copies, source_size, target, taken and more.
+
+    Each of an item's ``copies`` gives ``taken`` words, and ``more`` of them one word besides.
+    """
     words = mix.parts.groupBy("source_index", "begin").agg(F.sum(F.expr("item_to - item_from")).alias("words"))
-    each = mix.items.join(words, ["source_index", "begin"], "left").withColumn(
-        "taken", F.expr("coalesce(words, 0) div copies")
-    )
+    each = mix.items.join(words, ["source_index", "begin"], "left")
+    each = each.withColumn("taken", F.expr("coalesce(words, 0) div copies")).withColumn("more", F.expr("coalesce(words, 0) % copies"))
     return each.drop("words", "begin")
 
 
 def per_document(mix: Mix) -> DataFrame:
-    """``taken`` with a row for each copy of an item."""
-    rows = taken(mix)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("_copy", "copies")
+    """``taken`` with a row for each copy of an item, which together take all words that the item gives."""
+    rows = taken(mix).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    share = F.col("taken") + (F.col("_copy") <= F.col("more")).cast("bigint")
+    return rows.withColumn("taken", share).drop("_copy", "copies", "more")
 
 
 def mixed_documents(
@@ -313,7 +316,9 @@ def mixed_documents(
 
     A document taken two and a half times gives two rows as they are and one with the first half of
     its words, joined by one space; ``n_chars``, where it exists, is then the length of those.
-    Documents the mix does not take, among them all without words, are left out.
+    Documents the mix does not take, among them all without words, are left out. Rows equal in
+    source, doc_id and text take the same number of words each; what does not divide, less than one
+    word for each of them, is left out here, for rows that are equal have no order.
     """
     mix = plan_mix(docs, work, doc_id=doc_id, text=text, source=source, **how)
     names = docs.columns
