@@ -96,16 +96,21 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(
     docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, most: int
 ) -> DataFrame:
-    """text and toxic of at most ``most`` labelled documents that are not held out.
+    """text and toxic of at most ``most`` labelled texts that are not held out.
 
-    A doc_id labelled both ways counts as toxic. The bounded table of labels is broadcast, the
-    texts stay where they are.
+    A doc_id labelled both ways counts as toxic, and rows equal in doc_id and text count once. The
+    bounded table of labels is broadcast, and then the bounded list of ids and text hashes, so that
+    no more rows than that are ever gathered, however often a doc_id is repeated.
     """
     known = labels.select(column(labels, doc_id).alias("id"), column(labels, label).cast("int").alias("toxic"))
     known = known.where("id is not null and toxic is not null").where(~held_out(F.col("id")))
     chosen = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(most)
     rows = docs.select(column(docs, doc_id).alias("id"), column(docs, text).cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "id").select("text", "toxic")
+    labelled = rows.join(F.broadcast(chosen), "id").withColumn("print", F.xxhash64("text"))
+    order = F.xxhash64("id", "print")
+    picked = labelled.select("id", "print").distinct().orderBy(order, "id", "print").limit(most)
+    once = labelled.join(F.broadcast(picked), ["id", "print"]).groupBy("id", "print")
+    return once.agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _count_cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
