@@ -485,26 +485,30 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _revision_folder(spark: SparkSession, d: str) -> str:
+def _revision_folder(spark: SparkSession, d: str) -> tuple[str, int]:
+    """A folder with all revisions, and how many seconds late one may come in it."""
     versions = view(spark, d, "page_versions").selectExpr(
         "page_id", "cast(version as int) version", "client", "cast(ts as timestamp) ts", "event_id"
     )
     folder = scratch_folder(spark, "revisions")
-    revisions.write_in_time_order(versions, folder)
-    return folder
+    return folder, revisions.write_in_time_order(versions, folder)
 
 
 def stream_latest_page(spark: SparkSession, d: str) -> DataFrame:
-    stream = revisions.read_revisions(spark, _revision_folder(spark, d), 4)
+    folder, _ = _revision_folder(spark, d)
+    stream = revisions.read_revisions(spark, folder, 4)
     out = scratch_folder(spark, "latest")
     revisions.follow_latest(stream, out, scratch_folder(spark, "latest-checkpoint"))
     return revisions.read_latest(spark, out).select("page_id", "version", "client", "event_id")
 
 
 def stream_version_guard(spark: SparkSession, d: str) -> DataFrame:
-    stream = revisions.read_revisions(spark, _revision_folder(spark, d), 4)
+    folder, seconds = _revision_folder(spark, d)
+    delay = f"{seconds} seconds"
+    stream = revisions.read_revisions(spark, folder, 4)
+    revisions.close_feed(spark.read.schema(revisions.REVISION).parquet(folder), folder, delay)
     out = scratch_folder(spark, "verdicts")
-    revisions.run_guard(stream, out, scratch_folder(spark, "verdicts-checkpoint"))
+    revisions.run_guard(stream, out, scratch_folder(spark, "verdicts-checkpoint"), delay)
     return spark.read.schema(revisions.VERDICT).parquet(out)
 
 

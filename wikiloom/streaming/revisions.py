@@ -10,8 +10,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from wikiloom.session import WorkFolder
 from wikiloom.sources import snapshots
 
 REVISION = "page_id string, version int, client string, ts timestamp, event_id bigint"
@@ -22,7 +23,10 @@ LATEST = "latest"
 #: Versions of the table of newest revisions that stay readable.
 KEPT_VERSIONS = 3
 _COLUMNS = ("page_id", "version", "client", "ts", "event_id")
-_STATE = "version int, clients map<string, int>"
+#: How late an attempt may come, in event time.
+DELAY = "10 minutes"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_revisions(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
@@ -69,68 +73,173 @@ def read_latest(spark: SparkSession, out: str) -> DataFrame:
     return spark.createDataFrame([], REVISION).select(*_COLUMNS) if found is None else found
 
 
-def _judge(
-    key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    version, clients = state.get if state.exists else (0, {})
-    clients = dict(clients)
-    rows = pd.concat(batches).sort_values(["ts", "event_id"])
-    verdicts = []
-    for event_id, client in zip(rows["event_id"], rows["client"]):
-        seen = clients.get(client, 0)
-        accepted = seen in (0, version)
-        version += accepted
-        clients[client] = version
-        verdicts.append((key[0], event_id, client, seen, version, accepted))
-    state.update((version, clients))
-    yield pd.DataFrame(
-        verdicts, columns=["page_id", "event_id", "client", "seen", "version", "accepted"]
-    )
+class PublishGuard(StatefulProcessor):
+    """Judges a page's attempts by (ts, event_id) once the watermark has passed them.
 
+    State of a page: its version; what each client knows, as (version, time of its last attempt);
+    the attempts that wait for the watermark; and the time of its next timer. A timer stands at the
+    earliest waiting attempt, and with ``forget`` (microseconds) at the earliest time a client may be
+    forgotten. Only the clients of due attempts are read, with ``forget`` all of the page.
+    """
 
-def guard_versions(attempts: DataFrame) -> DataFrame:
+    def __init__(self, forget: int | None = None):
+        self.forget = forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.version = handle.getValueState("version", "version int")
+        self.timer = handle.getValueState("timer", "at bigint")
+        self.clients = handle.getMapState("clients", "client string", "seen int, at bigint")
+        self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, client string")
+
+    def close(self) -> None:
+        pass
+
+    def _wake(self, at: int) -> None:
+        """A timer at the first millisecond that is not before ``at`` microseconds, if none stands earlier."""
+        at = -(-at // 1000)
+        if self.timer.exists():
+            (standing,) = self.timer.get()
+            if standing <= at:
+                return
+            self.handle.deleteTimer(standing)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] is not None:
+            arrived = pd.concat([batch[["at", "event_id", "client"]] for batch in rows])
+            self.waiting.appendList([(int(at), int(event), client) for at, event, client in arrived.itertuples(index=False)])
+            self._wake(int(arrived["at"].min()))
+        yield from ()
+
+    def _known(self, client: str | None, at: int) -> int:
+        """The version a client knows at a time; 0 if it never came, or so long ago that it is forgotten."""
+        if not self.clients.containsKey((client,)):
+            return 0
+        seen, last = self.clients.getValue((client,))
+        return 0 if self.forget is not None and last + self.forget < at else seen
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.timer.exists() or self.timer.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
+            return
+        self.timer.clear()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = set(self.waiting.get())  # an attempt that was read twice is one attempt
+        due = sorted((row for row in rows if row[0] <= now), key=lambda row: row[:2])
+        rest = [row for row in rows if row[0] > now]
+        if due:
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        version = self.version.get()[0] if self.version.exists() else 0
+        known: dict[str | None, tuple[int, int]] = {}
+        verdicts = []
+        for at, event, client in due:
+            seen, last = known.get(client) or (self._known(client, at), at)
+            if self.forget is not None and last + self.forget < at:
+                seen = 0
+            accepted = seen in (0, version)
+            version += accepted
+            known[client] = version, at
+            verdicts.append((key[0], event, client, seen, version, accepted))
+        if due:
+            self.version.update((version,))
+            for client, state in known.items():
+                self.clients.updateValue((client,), state)
+        wake = [row[0] for row in rest]
+        if self.forget is not None:
+            known_all = [(client, last) for (client,), (_, last) in self.clients.iterator()]
+            for client, last in known_all:
+                if last + self.forget < now:
+                    self.clients.removeKey((client,))
+                else:
+                    wake.append(last + self.forget + 1000)
+        if wake:
+            self._wake(min(wake))
+        if verdicts:
+            yield pd.DataFrame(verdicts, columns=["page_id", "event_id", "client", "seen", "version", "accepted"])
+
+
+def guard_versions(attempts: DataFrame, delay: str = DELAY, forget: int | None = None) -> DataFrame:
     """Judge publish attempts: every client publishes with the version it last saw.
 
     An attempt is accepted if that is the page's current version or 0, and raises the version;
-    otherwise it is a conflict, after which the client knows the current version. Attempts of a
-    page within one trigger are taken by (ts, event_id); files must come in time order. The state
-    is one version and one number per client; a trigger's rows of one page are bounded by the
-    files read per trigger.
+    otherwise it is a conflict, after which the client knows the current version. Attempts are judged
+    by (ts, event_id) whatever files they come in, once the watermark, the newest ``ts`` of all pages
+    less ``delay``, has passed them. What comes later than that is dropped, as is what is read again
+    after its verdict; an attempt that is read again while it waits counts once. ``forget`` seconds
+    after its last attempt a client counts as new, and leaves the state; by default never. Attempts
+    without a page move the watermark and have no verdict; such a row with a late ``ts`` (``close_feed``)
+    brings out the verdicts of a feed's end. An attempt without ``ts`` has none either. The session
+    needs the RocksDB state store, which ``run_guard`` sets.
+
+    The state of a page is one number, two for each client, and the attempts of the last ``delay``.
     """
-    return attempts.groupBy("page_id").applyInPandasWithState(
-        _judge, VERDICT, _STATE, "append", GroupStateTimeout.NoTimeout
+    timed = attempts.where(F.col("ts").isNotNull()).withWatermark("ts", delay)
+    return (
+        timed.withColumn("at", F.unix_micros("ts"))
+        .groupBy("page_id")
+        .transformWithStateInPandas(
+            PublishGuard(None if forget is None else forget * 1_000_000), VERDICT, "Append", "EventTime"
+        )
     )
 
 
-def run_guard(attempts: DataFrame, out: str, checkpoint: str) -> None:
+def run_guard(attempts: DataFrame, out: str, checkpoint: str, delay: str = DELAY, forget: int | None = None) -> None:
     """Write the verdicts of all available attempts to ``out``."""
-    (
-        guard_versions(attempts)
-        .writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    conf = attempts.sparkSession.conf
+    before = conf.get(_STORE)
+    conf.set(_STORE, _ROCKSDB)
+    try:  # a stream keeps the settings it was started with
+        query = (
+            guard_versions(attempts, delay, forget)
+            .writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        conf.set(_STORE, before)
+    query.awaitTermination()
+
+
+def close_feed(revisions: DataFrame, folder: str, after: str = DELAY) -> None:
+    """A last file for a feed: one row without a page, more than ``after`` behind the newest revision.
+
+    It lets the watermark pass all that the feed holds; a feed that goes on later must begin behind it.
+    """
+    late = F.max("ts") + F.expr(f"interval {after}") + F.expr("interval 1 second")
+    end = revisions.agg(late.alias("ts")).where(F.col("ts").isNotNull())
+    none = F.lit(None)
+    end.select(
+        none.cast("string").alias("page_id"), none.cast("int").alias("version"), none.cast("string").alias("client"),
+        "ts", none.cast("bigint").alias("event_id"),
+    ).coalesce(1).write.mode("append").parquet(folder)
 
 
 def write_in_time_order(
     revisions: DataFrame, folder: str, ranges: int = 8, files: int = 4
-) -> None:
-    """Revisions as a folder that a file stream reads in event order.
+) -> int:
+    """Revisions as a folder that a file stream reads range by range; returns a range's length in seconds.
 
-    The rows are cut into ``ranges`` time ranges of equal length, written one after the other.
-    Within a range a page's rows share one file, so the files of a range may come in any order.
+    The rows are cut into ``ranges`` time ranges of equal length, written one after the other, so
+    none comes later than that length behind another. Within a range they are in no order, and a
+    page's rows in any of the files. ``revisions`` is evaluated once, into a work table.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
-    bounds = revisions.agg(F.min(at).alias("first"), F.max(at).alias("last")).first()
+    work = WorkFolder.scratch(revisions.sparkSession, "feed")
+    kept = work.keep(revisions, "revisions")
+    bounds = kept.agg(F.min(at).alias("first"), F.max(at).alias("last")).first()
     if bounds["first"] is None:
-        revisions.write.mode("append").parquet(folder)
-        return
+        kept.write.mode("append").parquet(folder)
+        return 1
     width = (bounds["last"] - bounds["first"]) // ranges + 1
     for number in range(ranges):
         start = bounds["first"] + number * width
-        part = revisions.where(at.between(start, start + width - 1))
-        part.repartition(files, "page_id").write.mode("append").parquet(folder)
+        part = kept.where(at.between(start, start + width - 1))
+        part.repartition(files, "event_id").write.mode("append").parquet(folder)
+    return -(-width // 1_000_000)
