@@ -76,8 +76,8 @@ def read_latest(spark: SparkSession, out: str) -> DataFrame:
 class PublishGuard(StatefulProcessor):
     """Judges a page's attempts by (ts, event_id) once the watermark has passed them.
 
-    State of a page: its version; what each client knows, as (version, time of its last attempt);
-    the attempts that wait for the watermark; and the time of its next timer. A timer stands at the
+    State of a page: its version with the time of its next timer; what each client knows, as (version,
+    time of its last attempt); and the attempts that wait for the watermark. A timer stands at the
     earliest waiting attempt, and with ``forget`` (microseconds) at the earliest time a client may be
     forgotten. Only the clients of due attempts are read, with ``forget`` all of the page.
     """
@@ -87,77 +87,63 @@ class PublishGuard(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.version = handle.getValueState("version", "version int")
-        self.timer = handle.getValueState("timer", "at bigint")
+        self.page = handle.getValueState("page", "version int, timer bigint")
         self.clients = handle.getMapState("clients", "client string", "seen int, at bigint")
         self.waiting = handle.getListState("waiting", "at bigint, event_id bigint, client string")
 
     def close(self) -> None:
         pass
 
-    def _wake(self, at: int) -> None:
-        """A timer at the first millisecond that is not before ``at`` microseconds, if none stands earlier."""
+    def _wake(self, version: int, standing: int | None, at: int) -> None:
+        """Keep the version, and a timer at the first millisecond that is not before ``at`` microseconds."""
         at = -(-at // 1000)
-        if self.timer.exists():
-            (standing,) = self.timer.get()
+        if standing is not None:
             if standing <= at:
                 return
             self.handle.deleteTimer(standing)
         self.handle.registerTimer(at)
-        self.timer.update((at,))
+        self.page.update((version, at))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if key[0] is not None:
-            arrived = pd.concat([batch[["at", "event_id", "client"]] for batch in rows])
-            self.waiting.appendList([(int(at), int(event), client) for at, event, client in arrived.itertuples(index=False)])
-            self._wake(int(arrived["at"].min()))
+            arrived = [row for batch in rows for row in zip(batch["at"].tolist(), batch["event_id"].tolist(), batch["client"])]
+            self.waiting.appendList(arrived)
+            self._wake(*(self.page.get() or (0, None)), min(row[0] for row in arrived))
         yield from ()
 
-    def _known(self, client: str | None, at: int) -> int:
-        """The version a client knows at a time; 0 if it never came, or so long ago that it is forgotten."""
-        if not self.clients.containsKey((client,)):
-            return 0
-        seen, last = self.clients.getValue((client,))
-        return 0 if self.forget is not None and last + self.forget < at else seen
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.timer.exists() or self.timer.get()[0] != expiredTimerInfo.getExpiryTimeInMs():
-            return
-        self.timer.clear()
+        version, _ = self.page.get()
         now = timerValues.getCurrentWatermarkInMs() * 1000
         rows = set(self.waiting.get())  # an attempt that was read twice is one attempt
         due = sorted((row for row in rows if row[0] <= now), key=lambda row: row[:2])
         rest = [row for row in rows if row[0] > now]
-        if due:
-            if rest:
-                self.waiting.put(rest)
-            else:
-                self.waiting.clear()
-        version = self.version.get()[0] if self.version.exists() else 0
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
         known: dict[str | None, tuple[int, int]] = {}
         verdicts = []
         for at, event, client in due:
-            seen, last = known.get(client) or (self._known(client, at), at)
+            seen, last = known.get(client) or self.clients.getValue((client,)) or (0, at)
             if self.forget is not None and last + self.forget < at:
                 seen = 0
             accepted = seen in (0, version)
             version += accepted
             known[client] = version, at
             verdicts.append((key[0], event, client, seen, version, accepted))
-        if due:
-            self.version.update((version,))
-            for client, state in known.items():
-                self.clients.updateValue((client,), state)
+        for client, state in known.items():
+            self.clients.updateValue((client,), state)
         wake = [row[0] for row in rest]
         if self.forget is not None:
-            known_all = [(client, last) for (client,), (_, last) in self.clients.iterator()]
-            for client, last in known_all:
+            for (client,), (_, last) in list(self.clients.iterator()):
                 if last + self.forget < now:
                     self.clients.removeKey((client,))
                 else:
                     wake.append(last + self.forget + 1000)
         if wake:
-            self._wake(min(wake))
+            self._wake(version, None, min(wake))
+        else:
+            self.page.update((version, None))
         if verdicts:
             yield pd.DataFrame(verdicts, columns=["page_id", "event_id", "client", "seen", "version", "accepted"])
 
