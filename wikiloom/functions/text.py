@@ -98,36 +98,64 @@ def by_position(ordered: Column) -> Column:
     return F.flatten(F.filter(filled, lambda x: x.isNotNull()))
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What ``combine`` makes of all elements up to each one, in log2(n) passes over the array.
+
+    ``combine`` must be associative. A fold with an array as its state would copy it at every element.
+    """
+    steps = F.array(*[F.lit(1 << k) for k in range(31)])
+
+    def doubled(start: Column) -> Column:
+        return F.aggregate(
+            F.filter(steps, lambda s: s < F.size(start)),
+            start,
+            lambda acc, s: F.transform(
+                acc, lambda x, i: F.when(i >= s, combine(F.get(acc, i - s), x)).otherwise(x)
+            ),
+        )
+
+    return bind(values, doubled)
+
+
+def running_sum(values: Column) -> Column:
+    return running(values, lambda x, y: x + y)
+
+
+def nth_of_equal(values: Column) -> Column:
+    """For each element how many before it equal it, by a sort inside the row."""
+
+    def ranked(ordered: Column) -> Column:
+        # The place where an element's run of equals begins is the last one that differs from its neighbour.
+        begins = running(
+            F.transform(
+                ordered, lambda x, j: F.when((j > 0) & x["value"].eqNullSafe(F.get(ordered, j - 1)["value"]), 0).otherwise(j)
+            ),
+            F.greatest,
+        )
+        placed = F.transform(
+            F.arrays_zip(ordered.alias("x"), begins.alias("begin")),
+            lambda z, j: F.struct(z["x"]["at"].alias("at"), (j - z["begin"]).alias("nth")),
+        )
+        return F.transform(F.array_sort(placed), lambda p: p["nth"])
+
+    pairs = F.transform(values, lambda v, i: F.struct(v.alias("value"), i.alias("at")))
+    return bind(F.array_sort(pairs), ranked)
+
+
 def match_offsets(c: Column, pattern: str) -> Column:
     """array<struct<text, start>> of all matches, ``start`` counted from 0 in characters."""
     parts = F.zip_with(
         pieces(c, pattern),
         all_matches(c, pattern),
-        lambda before, m: F.struct(F.length(before).alias("gap"), m.alias("text")),
-    )
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit([]).cast("array<struct<text:string,start:int>>").alias("found"),
-    )
-    return F.aggregate(
-        parts,
-        start,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + F.coalesce(F.length(p["text"]), F.lit(0))).alias("at"),
-            F.when(p["text"].isNull(), acc["found"])
-            .otherwise(
-                F.concat(
-                    acc["found"],
-                    F.array(
-                        F.struct(p["text"].alias("text"), (acc["at"] + p["gap"]).alias("start"))
-                    ),
-                )
-            )
-            .alias("found"),
-        ),
-        lambda acc: acc["found"],
+        lambda before, m: F.struct(F.length(before).alias("gap"), m.alias("text"), F.length(m).alias("size")),
     )
 
+    def placed(found: Column) -> Column:
+        ends = running_sum(F.transform(found, lambda p: p["gap"] + p["size"]))
+        return F.zip_with(found, ends, lambda p, end: F.struct(p["text"].alias("text"), (end - p["size"]).alias("start")))
+
+    return bind(F.filter(parts, lambda p: p["text"].isNotNull()), placed)
+
 
 def group(c: Column, pattern: str, index: int = 1) -> Column:
     """A capture group of the first match, '' without a match."""
