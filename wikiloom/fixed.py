@@ -202,6 +202,7 @@ BLOCK_BOUNDARY = "(?i)(?=</?(?:" + "|".join(BLOCK_ELEMENTS) + r")(?![\w-]))"
 # Everything inside is code, tags too.
 PREFORMATTED = rf"(?i)(<pre\b[^>]*>)({up_to('</pre>')})</pre>"
 COMMENT = r"<!--[\s\S]*?-->|<![a-zA-Z][^>]*>"
+LIST_START = r"""(?i)\sstart\s*=\s*["']?([0-9]{1,8})(?![0-9])"""
 BULLET = "-   "
 NESTING = "    "
 RULE = "---"
