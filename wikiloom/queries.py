@@ -294,14 +294,17 @@ def frontier_one_hop(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _links_to_nowhere(spark: SparkSession, d: str) -> DataFrame:
-    """The links of the link pages and two more on each, to a title and an id that no page has."""
+def _pages_with_lost_links(spark: SparkSession, d: str) -> DataFrame:
+    """The link pages with two more links on each, to a title and an id that no page has."""
     lost = F.concat(
         F.lit('<p><a href="/display/CAT/Lost+'), "page_id", F.lit('">by title</a> <a href="/pages/viewpage.action?pageId=9'),
         "page_id", F.lit('">by id</a></p>'),
     )
-    html = view(spark, d, "wiki_links_html").withColumn("html", F.concat("html", lost))
-    return links.page_links(html, ORIGIN)
+    return view(spark, d, "wiki_links_html").withColumn("html", F.concat("html", lost))
+
+
+def _links_to_nowhere(spark: SparkSession, d: str) -> DataFrame:
+    return links.page_links(_pages_with_lost_links(spark, d), ORIGIN)
 
 
 def frontier_failures(spark: SparkSession, d: str) -> DataFrame:
@@ -553,6 +556,43 @@ def download_commit(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("page_id", "rel_path", "text", F.coalesce("samples", F.lit(0)).alias("samples"))
 
 
+def _reported_run(spark: SparkSession, d: str) -> tuple[str, dict[str, int]]:
+    """The folder and the counts of a committed download whose roots also hold links to nowhere and a long listing."""
+    work = WorkFolder.scratch(spark, "reported")
+    pages, roots, saved = _download_tables(spark, d, work)
+    lost = _pages_with_lost_links(spark, d).select("page_id", F.col("html").alias("_lost"))
+    listing = F.concat(
+        F.lit("<h2>Packing log</h2><pre>"),
+        F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda n: F.concat(F.lit("box "), n, F.lit(" of "), "page_id")), "\n"),
+        F.lit("</pre>"),
+    )
+    pages = pages.join(lost, "page_id", "left").withColumn("html", F.coalesce(F.concat("_lost", listing), "html")).drop("_lost")
+    run = f"{work.folder}/run"
+    return run, run_download(spark, pages, roots, saved, ORIGIN, GENERATED, f"{work.folder}/corpus", run)
+
+
+def download_failures(spark: SparkSession, d: str) -> DataFrame:
+    """The links of a download that lead to no page."""
+    return spark.read.parquet(f"{_reported_run(spark, d)[0]}/failures")
+
+
+def download_relinked(spark: SparkSession, d: str) -> DataFrame:
+    """Saved documents that were not downloaded and whose links a download changed."""
+    return spark.read.parquet(f"{_reported_run(spark, d)[0]}/relinked")
+
+
+def download_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The listings that a download moved out of its pages."""
+    return spark.read.parquet(f"{_reported_run(spark, d)[0]}/samples").select("page_id", "rel_path", "seq", "name", "content")
+
+
+def download_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The counts of one download, as observed while it wrote its tables."""
+    counts = _reported_run(spark, d)[1]
+    names = ("pages", "samples", "relinked", "failures", "clashes")
+    return spark.createDataFrame([tuple(counts[n] for n in names)], ", ".join(f"{n} bigint" for n in names))
+
+
 #: Queries whose rows are those of another one, so that they share its oracle.
 SAME_ROWS = {"download_commit": "full_download"}
 
@@ -570,5 +610,6 @@ QUERIES: dict[str, Query] = {
         lookup_by_title, link_inventory, html_blocks, html_to_markdown, anchors_rewrite,
         assemble_documents, md_to_storage, md_emphasis, stream_latest_page, stream_version_guard,
         publish_rebind, full_download, download_commit,
+        download_failures, download_relinked, download_samples, download_summary,
     )
 }
