@@ -27,7 +27,10 @@ GRANT = (
 )
 #: A copyright notice that goes on with a licence in the same line: at the start of the line, or after a heading.
 FLAT_LINE = rf"(?m)^[^\p{{L}}\p{{N}}\n©]*(?:copyright|\(c\)|©)[^\p{{L}}\p{{N}}\n]*(?:copyright|\(c\)|c\)|©|[12][0-9]{{3}}|year|yyyy)[^\n]*?(?={GRANT})"
-FLAT_NOTICE = FLAT_LINE.replace(r"(?m)^[^\p{L}\p{N}\n©]*", "").replace(r"[^\n]*?", r"[^\n]{0,1000}?")
+_NOTICE = r"(?:copyright|\(c\)|©)[^\p{L}\p{N}\n]*(?:copyright|\(c\)|c\)|©|[12][0-9]{3}|year|yyyy)"
+#: The same behind other words, at any distance. Where no licence follows in the line, its rest is taken
+#: as it is in one step, so that a line of many notices is not read once for each.
+FLAT_NOTICE = rf"{_NOTICE}[^\n]*?(?={GRANT})|(?:(?<![\p{{L}}\p{{N}}])|(?=[(©]))({_NOTICE}[^\n]*+)"
 RIGHTS_LINE = r"(?m)^[^\p{L}\p{N}\n]*all rights reserved[^\p{L}\p{N}\n]*$"
 MARKS = r"[^\p{L}\p{N}]+"
 #: Stems whose British endings in -ise, -ised, -ising and -isation are read as -ize and so on.
@@ -157,7 +160,9 @@ def all_texts() -> list[tuple[str, str]]:
 
 def canonical(text: Column) -> Column:
     out = F.lower(text)
-    for line in (FLAT_LINE, FLAT_NOTICE, COPYRIGHT_LINE, RIGHTS_LINE):
+    out = F.regexp_replace(out, FLAT_LINE, " ")
+    out = F.regexp_replace(out, FLAT_NOTICE, " $1")
+    for line in (COPYRIGHT_LINE, RIGHTS_LINE):
         out = F.regexp_replace(out, line, " ")
     out = F.trim(F.regexp_replace(out, MARKS, " "))
     out = F.regexp_replace(out, ISE, "$1iz$2")
