@@ -325,7 +325,11 @@ def links_rewrite(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relink_changed(spark: SparkSession, d: str) -> DataFrame:
-    placed, saved = _whole_run(spark, d)
+    return _relinked(*_whole_run(spark, d))
+
+
+def _relinked(placed: DataFrame, saved: DataFrame) -> DataFrame:
+    """Saved documents outside of one folder whose links a run changed."""
     written = saved.where(F.col("dir") == "geo").select("rel_path")
     return sync.relink_saved(
         saved, written, tree.lookup_by_id(placed, saved), tree.lookup_by_title(placed, saved), ORIGIN
@@ -346,10 +350,6 @@ def tree_paths(spark: SparkSession, d: str) -> DataFrame:
     return tree.place_in_tree(fetched, saved, slugs)
 
 
-def _all_placed(spark: SparkSession, d: str) -> DataFrame:
-    return _numbered(_pages(spark, d)).join(tree_paths(spark, d), "page_id")
-
-
 def lookup_by_id(spark: SparkSession, d: str) -> DataFrame:
     placed, saved = _whole_run(spark, d)
     return tree.lookup_by_id(placed, saved)
@@ -480,10 +480,11 @@ def version_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, d: str) -> DataFrame:
+    placed, saved = _whole_run(spark, d)
     return sync.run_summary(
-        _all_placed(spark, d),
+        placed,
         samples_named(spark, d),
-        relink_changed(spark, d),
+        _relinked(placed, saved),
         parts_inlined(spark, d),
     )
 
