@@ -158,17 +158,34 @@ def frontier_one_hop(
     Links are taken in the order of their source's id, then of their position. Pages among the
     sources are already fetched and do not come up again.
     """
-    resolved = resolve_targets(frontier_targets(links, sources, saved), pages)
-    return reached_pages(resolved, sources, pages)
+    targets = frontier_targets(links, sources, saved)
+    # Links to one target are one row before the lookups, so that a page everybody links to is no hot key there.
+    wanted = _first_links(targets, "want_id", "want_space", "want_title")
+    return _new_pages(resolve_targets(wanted, pages), sources, pages)
 
 
 def reached_pages(resolved: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFrame:
     """The pages that resolved targets lead to; see ``frontier_one_hop``."""
-    order = F.struct(page_order(F.col("source_id")).alias("source"), F.col("pos").alias("pos"))
+    return _new_pages(_first_links(resolved.where(F.col("found_id").isNotNull()), "found_id"), sources, pages)
+
+
+def _link_order(source_id: Column, pos: Column) -> Column:
+    return F.struct(page_order(source_id).alias("source"), pos.alias("pos"))
+
+
+def _first_links(targets: DataFrame, *keys: str) -> DataFrame:
+    """Per key the first link, ``_via``, and how many there are, ``links``."""
+    order = _link_order(F.col("source_id"), F.col("pos"))
+    return targets.groupBy(*keys).agg(F.min_by(F.struct("source_id", "pos"), order).alias("_via"), F.count("*").alias("links"))
+
+
+def _new_pages(firsts: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pages found for some first links that are not among the sources."""
+    order = _link_order(F.col("_via.source_id"), F.col("_via.pos"))
     reached = (
-        resolved.where(F.col("found_id").isNotNull())
+        firsts.where(F.col("found_id").isNotNull())
         .groupBy(F.col("found_id").alias("page_id"))
-        .agg(F.min_by(F.struct("source_id", "pos"), order).alias("_via"), F.count("*").alias("links"))
+        .agg(F.min_by("_via", order).alias("_via"), F.sum("links").alias("links"))
     )
     new = reached.join(sources.select("page_id"), "page_id", "left_anti")
     return new.join(pages.select("page_id", "space_key", "title"), "page_id").select(
