@@ -17,9 +17,11 @@ def lookup_join(
     equi-join whose result is exchanged again by another key, which is the shape in which the
     adaptive skew join cuts an oversized partition into slices by map output and gives each slice
     a copy of the one lookup row: the hot key is spread over as many tasks as its size asks for,
-    and the facts are computed and shuffled once. No side is broadcast unless its measured size
-    allows it. Facts without a key match nothing; they get a salt, so that they do not meet in
-    one partition.
+    and the facts are computed and shuffled once. The lookup's rows of a partition go into a hash
+    table, which is even since its keys are unique; the facts run past it without a sort, so what a
+    task holds does not grow with them. Nor is a small lookup broadcast once the facts are shuffled:
+    each task would then read all that one task before it wrote, however much that is. Facts without
+    a key match nothing; they get a salt, so that they do not meet in one partition.
     """
     keys, values = list(keys), list(values)
     keyless = F.lit(False)
@@ -28,4 +30,4 @@ def lookup_join(
     salt = F.when(keyless, F.pmod(F.xxhash64(*facts.columns), F.lit(4096)) + 1)
     salted = facts.withColumn("_salt", F.coalesce(salt, F.lit(0).cast("bigint")))
     rows = lookup.select(*keys, *values, F.lit(0).cast("bigint").alias("_salt"))
-    return salted.join(rows, [*keys, "_salt"], "left").select(*facts.columns, *values)
+    return salted.join(rows.hint("shuffle_hash"), [*keys, "_salt"], "left").select(*facts.columns, *values)
