@@ -39,6 +39,13 @@ def decode_component(c: Column, fallback: Column | None = None) -> Column:
     return t.bind(c, decoded)
 
 
+def _decoded(x: Column) -> Column:
+    """``decode_component`` of a column at hand, which costs little to mention often, as one compiled expression."""
+    plain = F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B")))
+    malformed = plain.isNull() | (plain.contains(_UNKNOWN) & ~x.contains(_UNKNOWN))
+    return F.when(x.contains("%") & ~malformed, plain).otherwise(x)
+
+
 def encode_component(c: Column) -> Column:
     """Percent-encoding that leaves letters, digits and - _ . ! ~ * ' ( ) alone."""
     out = F.url_encode(c)
@@ -86,8 +93,8 @@ def page_url_ref(df: DataFrame, url: str, out: str) -> DataFrame:
     def cut(raw: Column) -> Column:
         return F.struct(
             raw.alias("raw"),
-            F.lower(t.group(raw, _HTTP_URL, 1)).alias("scheme"),
-            F.lower(t.group(raw, _HTTP_URL, 2)).alias("host"),
+            t.bind(t.group(raw, _HTTP_URL, 1), t.lower).alias("scheme"),
+            t.bind(t.group(raw, _HTTP_URL, 2), t.lower).alias("host"),
             t.group(raw, _HTTP_URL, 3).alias("port"),
             decode_component(dot_segments(t.group(raw, _HTTP_URL, 4))).alias("path"),
             _query_page_id(t.group(raw, _HTTP_URL, 5)).alias("pid"),
@@ -162,78 +169,73 @@ def page_ref(df: DataFrame, href: str, out: str, origin: str = "") -> DataFrame:
 
     ``origin`` is the wiki's own address: absolute links count only on the same host and port.
     """
+    keep = df.columns
     own_scheme, own_host = _origin_parts(origin)
 
-    def cut(raw: Column) -> Column:
-        scheme = F.coalesce(
-            t.blank_to_null(F.lower(t.group(raw, f"^({_SCHEME})://"))), F.lit(own_scheme)
-        )
-        authority = F.lower(t.group(raw, f"^(?:{_SCHEME}:)?//(?:[^/?#@]*@)?([^/?#]*)"))
-        default_port = F.when(scheme == "https", ":443").when(scheme == "http", ":80")
-        same_host = (authority == own_host) | (
-            authority == F.concat(F.lit(own_host), default_port)
-        )
-        hosted = raw.rlike(f"^(?:{_SCHEME}:)?//")
-        path = t.group(raw, f"^(?:(?:{_SCHEME}:)?//[^/?#]*)?([^?#]*)")
-        return F.struct(
-            F.when(hosted, F.lit(bool(own_host)) & F.coalesce(same_host, F.lit(False)))
-            .otherwise(raw.startswith("/"))
-            .alias("own"),
-            decode_component(dot_segments(path)).alias("path"),
-            _query_page_id(t.group(raw, r"^[^?#]*\?([^#]*)")).alias("pid"),
-        )
-
-    def kind_of(u: Column) -> Column:
-        return (
-            F.when(~u["own"], None)
-            .when(u["path"].rlike(fixed.SPACE_PAGE_PATH), "space-page")
-            .when(u["pid"].isNotNull(), "page-id")
-            .when(u["path"].rlike(fixed.DISPLAY_HREF_PATH), "display")
-            .when(u["path"].rlike(fixed.ANY_PAGE_PATH), "any-page")
-        )
-
-    def fields(kind: Column, space: Column, page_id: Column, title: Column) -> Column:
-        return F.struct(
-            kind.alias("kind"),
-            F.coalesce(space, F.lit("")).alias("space_key"),
-            F.coalesce(page_id, F.lit("")).alias("page_id"),
-            F.coalesce(title, F.lit("")).alias("title"),
-        )
+    # What every link needs is told apart by substring tests and cut by steps of `once`, which Spark
+    # compiles; patterns and bound values are for the links that have what they look for.
+    raw = F.col("_raw")
+    pseudo, slash = raw.startswith(fixed.PSEUDO_SCHEME), raw.contains("/")
+    local = raw.startswith("/") & ~raw.startswith("//")
+    authority = t.group(raw, f"^(?:{_SCHEME}:)?//(?:[^/?#@]*@)?([^/?#]*)")
+    cut = t.once(df, _raw=F.coalesce(t.trim(F.col(href)), F.lit("")))
+    cut = t.once(
+        cut,
+        _parts=F.when(pseudo, F.split(F.substring(raw, len(fixed.PSEUDO_SCHEME) + 1, 1 << 30), "/")),
+        _local=~pseudo & local,
+        _authority=F.when(~pseudo & slash & ~local & raw.contains("//"), authority),
+    )
 
-    def of_url(u: Column, k: Column) -> Column:
-        path = u["path"]
-        title = F.replace(t.group(path, fixed.DISPLAY_HREF_PATH, 2), F.lit("+"), F.lit(" "))
-        return fields(
-            k,
-            F.when(k == "space-page", t.group(path, fixed.SPACE_PAGE_PATH, 1)).when(
-                k == "display", t.group(path, fixed.DISPLAY_HREF_PATH, 1)
-            ),
-            F.when(k == "space-page", t.group(path, fixed.SPACE_PAGE_PATH, 2))
-            .when(k == "page-id", u["pid"])
-            .when(k == "any-page", t.group(path, fixed.ANY_PAGE_PATH, 1)),
-            F.when(k == "display", title),
-        )
+    scheme = F.coalesce(t.blank_to_null(F.lower(t.group(raw, f"^({_SCHEME})://"))), F.lit(own_scheme))
+    default_port = F.when(scheme == "https", ":443").when(scheme == "http", ":80")
+    host = t.lower(F.col("_authority"))
+    same_host = F.lit(bool(own_host)) & (
+        (host == own_host) | (host.startswith(f"{own_host}:") & (host == F.concat(F.lit(own_host), default_port)))
+    )
+    hosted_path = t.group(raw, f"^(?:(?:{_SCHEME}:)?//[^/?#]*)?([^?#]*)")
+    before_fragment = F.substring_index(raw, "#", 1)
+    cut = t.once(
+        cut,
+        _path=F.when(F.col("_local"), F.substring_index(before_fragment, "?", 1)).when(same_host, hosted_path),
+        _query=F.when(raw.contains("pageId="), t.group(raw, r"^[^?#]*\?([^#]*)")),
+    )
 
-    def of_pseudo(parts: Column) -> Column:
-        title = F.get(parts, F.size(parts) - 1)
-        space = F.when(F.size(parts) > 1, decode_component(F.get(parts, F.lit(0))))
-        none = F.lit(None).cast("string")
-        ref = fields(F.lit("pseudo"), space, none, decode_component(title))
-        return F.when(title != "", ref)
-
-    def parsed(raw: Column) -> Column:
-        pseudo = F.split(F.substring(raw, len(fixed.PSEUDO_SCHEME) + 1, 1 << 30), "/")
-        url = t.bind(
-            cut(raw),
-            lambda u: t.bind(kind_of(u), lambda k: F.when(k.isNotNull(), of_url(u, k))),
-        )
-        return (
-            F.when(raw.startswith(fixed.PSEUDO_SCHEME), t.bind(pseudo, of_pseudo))
-            .when(raw.contains("/"), url)
-        )
+    path, value = F.col("_path"), F.col("_value")
+    cut = t.once(cut, _path=F.when(path.contains("."), dot_segments(path)).otherwise(path))
+    asked = t.group(F.col("_query"), "(?:^|&)pageId=([^&]*)")
+    cut = t.once(cut, _path=_decoded(path), _value=F.when(path.isNotNull() & (F.col("_query") != ""), asked))
+    cut = t.once(cut, _value=_decoded(value), _in_space=F.when(path.contains("/spaces/"), t.group(path, fixed.SPACE_PAGE_PATH, 2)))
+    in_space = F.coalesce(F.col("_in_space") != "", F.lit(False))
+    by_query = F.coalesce(F.col("_value").rlike(r"^\d+$"), F.lit(False))
+    cut = t.once(
+        cut,
+        _kind=F.when(in_space, "space-page").when(path.isNotNull() & by_query, "page-id"),
+        _shown=F.when(~in_space & ~by_query & path.contains("/display/"), t.group(path, fixed.DISPLAY_HREF_PATH, 2)),
+    )
+    shown = F.coalesce(F.col("_shown") != "", F.lit(False))
+    cut = t.once(
+        cut,
+        _any=F.when(F.col("_kind").isNull() & ~shown & path.contains("/pages/"), t.group(path, fixed.ANY_PAGE_PATH, 1)),
+    )
 
-    raw = F.coalesce(t.trim(F.col(href)), F.lit(""))
-    return t.once(df, **{out: t.bind(raw, parsed)})
+    def fields(kind: str, space: Column | None = None, page_id: Column | None = None, title: Column | None = None) -> Column:
+        named = {"space_key": space, "page_id": page_id, "title": title}
+        values = [F.lit("") if c is None else F.coalesce(c, F.lit("")) for c in named.values()]
+        return F.struct(F.lit(kind).alias("kind"), *[c.alias(name) for name, c in zip(named, values)])
+
+    parts = F.col("_parts")
+    title = F.element_at(parts, -1)
+    ref = (
+        F.when(
+            parts.isNotNull(),
+            F.when(title != "", fields("pseudo", F.when(F.size(parts) > 1, _decoded(F.get(parts, F.lit(0)))), None, _decoded(title))),
+        )
+        .when(F.col("_kind") == "space-page", fields("space-page", t.group(path, fixed.SPACE_PAGE_PATH, 1), F.col("_in_space")))
+        .when(F.col("_kind") == "page-id", fields("page-id", None, F.col("_value")))
+        .when(shown, fields("display", t.group(path, fixed.DISPLAY_HREF_PATH, 1), None, F.replace(F.col("_shown"), F.lit("+"), F.lit(" "))))
+        .when(F.col("_any") != "", fields("any-page", None, F.col("_any")))
+    )
+    return t.once(cut, **{out: ref}).select(*keep, out)
 
 
 def page_web_url(

@@ -46,12 +46,16 @@ def html_anchors(pages: DataFrame, page_id: str = "page_id", html: str = "html")
     href = F.coalesce(
         t.blank_to_null(t.group(tag, fixed.HTML_ANCHOR, 1)), t.group(tag, fixed.HTML_ANCHOR, 2)
     )
-    label = t.strip_tags(t.group(tag, fixed.HTML_ANCHOR, 3))
-    return t.once(
-        found,
-        href=t.decode_entities(href, fixed.PAGE_ENTITIES),
-        label=t.trim(t.decode_entities(label, fixed.PAGE_ENTITIES)),
-    ).drop("_tag")
+    label = t.group(tag, fixed.HTML_ANCHOR, 3)
+    cut = t.once(found, href=href, label=label).drop("_tag")
+
+    def decoded(c: Column) -> Column:
+        return F.when(c.contains("&"), t.decode_entities(c, fixed.PAGE_ENTITIES)).otherwise(c)
+
+    shown = F.when(F.col("label").contains("<"), t.strip_tags(F.col("label"))).otherwise(F.col("label"))
+    cut = t.once(cut, label=shown)
+    cut = t.once(cut, href=decoded(F.col("href")), label=decoded(F.col("label")))
+    return cut.select("source_id", "pos", "href", t.trim(F.col("label")).alias("label"))
 
 
 def page_links(
