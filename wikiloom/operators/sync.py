@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wikiloom.functions import documents, urls
 from wikiloom.operators import links
+from wikiloom.session import WorkFolder, keep
 
 GENERATOR = "wikiloom@1.0.0"
 
@@ -113,11 +114,17 @@ def relink_saved(
     return rewritten.where(F.col("text") != F.col("_old")).select("rel_path", "text")
 
 
-def resolve_parents(docs: DataFrame, pages: DataFrame, parent_url: str = "parent_url") -> DataFrame:
-    """Add parent_id and parent_space, found by id or else by space and title."""
-    keep = docs.columns
-    ref = urls.page_url_ref(docs, parent_url, "_ref").select(
-        *keep,
+def resolve_parents(
+    docs: DataFrame, pages: DataFrame, parent_url: str = "parent_url", work: WorkFolder | None = None
+) -> DataFrame:
+    """Add parent_id and parent_space, found by id or else by space and title.
+
+    Each parent is looked up once, however many documents name it, among the pages that may be it;
+    as a table of its own the short list of parents goes to the pages, which are not shuffled for it.
+    """
+    kept = docs.columns
+    ref = urls.page_url_ref(docs.select(parent_url).distinct(), parent_url, "_ref").select(
+        F.col(parent_url).alias("_parent_url"),
         F.col("_ref.origin").alias("site_origin"),
         F.col("_ref.base_path").alias("site_base_path"),
         F.col("_ref.cloud").alias("site_cloud"),
@@ -125,12 +132,23 @@ def resolve_parents(docs: DataFrame, pages: DataFrame, parent_url: str = "parent
         F.when(F.col("_ref.page_id").isNull(), F.col("_ref.space_key")).alias("want_space"),
         F.when(F.col("_ref.page_id").isNull(), F.col("_ref.title")).alias("want_title"),
     )
-    found = links.resolve_targets(ref, pages).withColumnRenamed("found_id", "parent_id")
+    ref = keep(work, ref, "parents")
+    titles = ref.select(F.col("want_space").alias("space_key"), F.col("want_title").alias("title"))
+    columns = pages.select("page_id", "space_key", "title")
+    asked = columns.join(ref.select(F.col("want_id").alias("page_id")), "page_id", "left_semi").unionByName(
+        columns.join(titles, ["space_key", "title"], "left_semi")
+    )
+    found = keep(work, links.resolve_targets(ref, asked).withColumnRenamed("found_id", "parent_id"), "parents-found")
     spaces = pages.select(F.col("page_id").alias("parent_id"), F.col("space_key").alias("parent_space"))
-    return found.join(spaces, "parent_id", "left").drop("want_id", "want_space", "want_title")
+    spaces = spaces.join(found.select("parent_id"), "parent_id", "left_semi")
+    placed = keep(work, found.join(spaces, "parent_id", "left"), "parents-placed")
+    joined = docs.join(placed, docs[parent_url].eqNullSafe(placed["_parent_url"]), "left")
+    return joined.select(
+        *[docs[c] for c in kept], "site_origin", "site_base_path", "site_cloud", "parent_id", "parent_space"
+    )
 
 
-def publish_plan(docs: DataFrame, pages: DataFrame) -> DataFrame:
+def publish_plan(docs: DataFrame, pages: DataFrame, work: WorkFolder | None = None) -> DataFrame:
     """What publishing every document would do.
 
     ``docs``: doc_id, title, storage, bound, url, version, parent_url. ``pages``: page_id,
@@ -168,7 +186,7 @@ def publish_plan(docs: DataFrame, pages: DataFrame) -> DataFrame:
         F.when(update_action == "updated", update_payload).alias("payload"),
     )
     new = resolve_parents(
-        docs.where(~F.col("bound")).select("doc_id", "title", "storage", "parent_url"), pages
+        docs.where(~F.col("bound")).select("doc_id", "title", "storage", "parent_url"), pages, work=work
     )
     create_action = F.when(F.col("parent_id").isNotNull(), "created").otherwise("not-found")
     create_payload = F.to_json(

@@ -35,4 +35,5 @@ def publish(
     ).drop("body", "fallback")
     rendered = publishing.with_storage(titled, "markdown", work=work and work.part("storage"))
     ready = keep(work, rendered.drop("markdown"), "ready")
-    return sync.publish_plan(ready, pages)
+    wiki = keep(work, pages.select("page_id", "space_key", "title", "version"), "pages")
+    return sync.publish_plan(ready, wiki, work)
