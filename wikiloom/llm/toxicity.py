@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wikiloom.llm.common import column
 from wikiloom.llm.grams import mix
-from wikiloom.llm.memory import frugal
+from wikiloom.llm.memory import frugal, give_back
 from wikiloom.llm.tokens import slices
 from wikiloom.session import WorkFolder
 
@@ -33,6 +33,8 @@ MAX_TRAINING = 20_000
 SMOOTHING = 0.5
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _SLICE = 1 << 18
+#: Numbers of cells that a step of the fit looks at together.
+_BLOCK = 1 << 17
 
 
 def cells_of(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -134,15 +136,39 @@ def log_ratios(rows: DataFrame, toxic: int, other: int) -> DataFrame:
     return counts.select("cell", ratio.alias("scale"), (F.abs(ratio) / error).alias("z")).where(f"z >= {LEAST_Z}").select("cell", "scale")
 
 
-def _fit(row: np.ndarray, cell: np.ndarray, value: np.ndarray, toxic: np.ndarray, cells: int) -> tuple[np.ndarray, float]:
-    """Coefficients and constant of a lightly regularised logistic regression, by scaled gradient steps."""
+def _blocks(lists: pa.ChunkedArray) -> list[tuple[slice, np.ndarray, np.ndarray]]:
+    """Stretches of rows with about ``_BLOCK`` numbers in their lists, a longer list by itself: the rows, the lengths of
+    their lists, and the numbers, which stay where they are."""
+    found, first = [], 0
+    for chunk in lists.chunks:
+        ends, numbers = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        a = 0
+        while a < len(chunk):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] + _BLOCK, side="right")) - 1)
+            found.append((slice(first + a, first + b), np.diff(ends[a : b + 1]), numbers[ends[a] : ends[b]]))
+            a = b
+        first += len(chunk)
+    return found
+
+
+def _fit(lists: pa.ChunkedArray, toxic: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients and constant of a lightly regularised logistic regression, by scaled gradient steps.
+
+    ``lists`` has the numbers of each row's cells. A step goes through them block by block, each added to the sums of
+    those before it, so that the driver holds four bytes for each number and nothing else of their size.
+    """
+    n, cells = len(toxic), len(scale)
     weight, constant = np.zeros(cells), float(np.log((toxic.sum() + 0.5) / ((1 - toxic).sum() + 0.5)))
     pace, constant_pace = np.zeros(cells), 0.0
-    n = len(toxic)
+    blocks, off = _blocks(lists), np.empty(n)
     for turn in range(300):
-        total = np.bincount(row, weights=value * weight[cell], minlength=n) + constant
-        off = 1 / (1 + np.exp(-np.clip(total, -500, 500))) - toxic
-        step = np.bincount(cell, weights=value * off[row], minlength=cells) / n + 1e-5 * weight
+        scaled, step = scale * weight, np.zeros(cells)
+        for rows, sizes, cell in blocks:
+            row, cell = np.repeat(np.arange(len(sizes)), sizes), cell.astype(np.int64)
+            total = np.bincount(row, weights=scaled[cell], minlength=len(sizes)) + constant
+            off[rows] = 1 / (1 + np.exp(-np.clip(total, -500, 500))) - toxic[rows]
+            np.add.at(step, cell, scale[cell] * off[rows][row])
+        step = step / n + 1e-5 * weight
         pace = 0.9 * pace + 0.1 * step**2
         constant_pace = 0.9 * constant_pace + 0.1 * off.mean() ** 2
         rate = 0.05 / (1 + turn / 30)
@@ -174,22 +200,20 @@ def learn(
     cells, scale = found.column("cell").to_numpy(), found.column("scale").to_numpy()
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(1 << CELL_BITS, bool)
-        wanted[cells] = True
+        number = np.full(1 << CELL_BITS, -1, np.int32)
+        number[cells] = np.arange(len(cells), dtype=np.int32)
+        wanted = number >= 0
         for batch in slices(batches, 0, _SLICE):
             text, cell = cells_of(_texts(batch, 0), wanted)
             ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=batch.num_rows))])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(cell.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["toxic", "cells"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(number[cell]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), lists], names=["toxic", "numbers"])
 
     # Ordered, so that the sums of the fit do not depend on where the rows were.
-    fitted = rows.mapInArrow(frugal(vectors), "toxic int, cells array<int>").orderBy("toxic", "cells").toArrow()
-    lists = fitted.column("cells").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
-    ends = lists.offsets.to_numpy()
-    row = np.repeat(np.arange(len(lists)), np.diff(ends))
-    at = np.searchsorted(cells, lists.values.to_numpy()[ends[0] : ends[-1]])
-    weight, constant = _fit(row, at, scale[at], (fitted.column("toxic").to_numpy() > 0).astype(float), len(cells))
+    fitted = rows.mapInArrow(frugal(vectors), "toxic int, numbers array<int>").orderBy("toxic", "numbers").toArrow()
+    weight, constant = _fit(fitted.column("numbers"), (fitted.column("toxic").to_numpy() > 0).astype(float), scale)
+    del fitted
+    give_back()  # the driver's memory, too, is wanted by the steps to come
     return Model(cells, weight * scale, constant)
 
 
