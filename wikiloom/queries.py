@@ -44,11 +44,17 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
     return links.page_links(view(spark, d, "wiki_links_html"), ORIGIN)
 
 
-def _sources(spark: SparkSession, d: str) -> DataFrame:
-    orders = view(spark, d, "wiki_links_html").select("page_id")
+def _sources(spark: SparkSession, d: str, html: DataFrame | None = None) -> DataFrame:
+    orders = (view(spark, d, "wiki_links_html") if html is None else html).select("page_id")
     return orders.withColumn("space_key", F.lit(ORDERS))
 
 
+def _kept_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The link pages and all pages, written once: each use of the views would join and shuffle their tables again."""
+    work = WorkFolder.scratch(spark, "inputs")
+    return work.keep(view(spark, d, "wiki_links_html"), "html"), work.keep(_pages(spark, d), "pages")
+
+
 def _order_docs(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "order_docs")
 
@@ -57,9 +63,9 @@ def _conv_docs(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "conv_docs")
 
 
-def _versioned_pages(spark: SparkSession, d: str) -> DataFrame:
+def _versioned_pages(spark: SparkSession, d: str, pages: DataFrame | None = None) -> DataFrame:
     version = (F.col("page_id").cast("bigint") % 2 + 1).cast("int")
-    return _pages(spark, d).withColumn("version", version)
+    return (_pages(spark, d) if pages is None else pages).withColumn("version", version)
 
 
 def _linked_docs(spark: SparkSession, d: str) -> DataFrame:
@@ -151,15 +157,15 @@ def corpus_write_readback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bundle_document(spark: SparkSession, d: str) -> DataFrame:
-    pages = _pages(spark, d)
-    targets = links.frontier_targets(_links(spark, d), _sources(spark, d), _saved(spark, d))
+    html, pages = _kept_inputs(spark, d)
+    targets = links.frontier_targets(links.page_links(html, ORIGIN), _sources(spark, d, html), _saved(spark, d))
     found = links.resolve_targets(targets, pages).where(F.col("found_id").isNotNull())
     body = F.concat(F.lit("Page "), F.col("page_id"), F.lit(".\n"))
     linked = found.select(
         F.col("source_id").alias("root_id"), F.col("pos").alias("ord"), F.col("found_id").alias("page_id")
     ).join(pages.select("page_id", "title"), "page_id")
-    roots = _versioned_pages(spark, d).join(
-        _sources(spark, d).select("page_id"), "page_id", "left_semi"
+    roots = _versioned_pages(spark, d, pages).join(
+        _sources(spark, d, html).select("page_id"), "page_id", "left_semi"
     )
     texts = sync.page_documents(
         roots.select("page_id", "title", "space_key", "version", body.alias("markdown")),
@@ -294,22 +300,23 @@ def frontier_one_hop(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _pages_with_lost_links(spark: SparkSession, d: str) -> DataFrame:
+def _pages_with_lost_links(spark: SparkSession, d: str, html: DataFrame | None = None) -> DataFrame:
     """The link pages with two more links on each, to a title and an id that no page has."""
     lost = F.concat(
         F.lit('<p><a href="/display/CAT/Lost+'), "page_id", F.lit('">by title</a> <a href="/pages/viewpage.action?pageId=9'),
         "page_id", F.lit('">by id</a></p>'),
     )
-    return view(spark, d, "wiki_links_html").withColumn("html", F.concat("html", lost))
+    return (view(spark, d, "wiki_links_html") if html is None else html).withColumn("html", F.concat("html", lost))
 
 
-def _links_to_nowhere(spark: SparkSession, d: str) -> DataFrame:
-    return links.page_links(_pages_with_lost_links(spark, d), ORIGIN)
+def _links_to_nowhere(spark: SparkSession, d: str, html: DataFrame | None = None) -> DataFrame:
+    return links.page_links(_pages_with_lost_links(spark, d, html), ORIGIN)
 
 
 def frontier_failures(spark: SparkSession, d: str) -> DataFrame:
+    html, pages = _kept_inputs(spark, d)
     return links.frontier_failures(
-        _links_to_nowhere(spark, d), _sources(spark, d), _saved(spark, d), _pages(spark, d)
+        _links_to_nowhere(spark, d, html), _sources(spark, d, html), _saved(spark, d), pages
     )
 
 
